@@ -184,3 +184,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """docs with one document of each group of near duplicates, and one row of each doc_id; rows without doc_id stay."""
+    kept = near_duplicates(docs, **how).filter("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))

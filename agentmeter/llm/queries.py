@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, tokens, urlfilter
-from .common import table
+from . import decontam, langid, lm, mixing, neardup, pii, quality, tokens, topk, urlfilter
+from .common import fold, table
 
 #: Fixed by the contract of op5.
 URL_RULES = (
@@ -20,6 +20,42 @@ URL_RULES = (
 )
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return quality.score(docs, labels, ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def pieces(path: str | None = None) -> list[str]:
+    """The pieces of a public sentencepiece vocabulary; path: of its file, which the driver reads."""
+    import sentencepiece
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i)]
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs, pieces(), ~held_out)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    return lm.score(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -50,14 +86,29 @@ def op9_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> Dat
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_urls, op6_neardup, op7_decontam, op8_mixing, op9_tokens)}
+    import corpus_pipeline
+
+    own = {f.__name__: f for f in (op1_quality, op2_topk, op3_langid, op4_lm, op5_urls, op6_neardup, op7_decontam, op8_mixing, op9_tokens, op10_pii)}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_urls": OP5_SQL, "op7_decontam": OP7_SQL}
+    return {"op2_topk": OP2_SQL, "op5_urls": OP5_SQL, "op7_decontam": OP7_SQL}
 
 
+OP2_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5
+"""
+
 OP5_SQL = r"""
 WITH rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
        ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
