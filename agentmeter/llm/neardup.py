@@ -139,7 +139,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, leaders: int = 2) -> DataFrame:
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets: products of their membership matrices.
+
+    Only values that both lists hold have a column; columns go in slices of bounded width.
+    """
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def cells(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        held = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        return row[held], at[held]
+
+    (row_a, col_a), (row_b, col_b) = cells(a, flat_a), cells(b, flat_b)
+    for i in range(0, len(shared), width):
+        x, y = (np.zeros((n, min(width, len(shared) - i)), np.float32) for n in (len(a), len(b)))
+        for m, row, col in ((x, row_a, col_a), (y, row_b, col_b)):
+            own = (col >= i) & (col < i + width)
+            m[row[own], col[own] - i] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _in_blocks(met: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """The links (a, b) between members of large buckets that are of different components.
+
+    A bucket is cut into blocks; each two blocks meet in a task of bounded size, where the full
+    sets decide. Of a member's links to one component the first is enough.
+    """
+    parts = F.ceil(F.col("size") / block)
+    dealt = met.join(sets, "id").withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    kind = dict(met.dtypes)["id"]
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = (rows[rows["own"] == key[i]].drop_duplicates("id").reset_index(drop=True) for i in (1, 2))
+        none = pd.DataFrame({"a": pd.Series(dtype=left["id"].dtype), "b": pd.Series(dtype=left["id"].dtype)})
+        if not len(left) or not len(right):
+            return none
+        sa, sb = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (left, right))
+        n = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :]
+        c = intersections(sa, sb)
+        linked = (100 * c >= percent * (n - c)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
+        i, j = np.nonzero(linked)
+        if not len(i):
+            return none
+        found = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "comp": right["comp"].to_numpy()[j]})
+        return found.drop_duplicates(["a", "comp"])[["a", "b"]]
+
+    pairs = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(meet, f"a {kind}, b {kind}")
+    return pairs.distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, leaders: int = 2, few: int = 32) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. docs: doc_id, text.
 
     With 40 bands of 6 rows a pair at similarity 0.8 shares no band with probability 5e-6.
@@ -164,21 +218,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     crowded = saved(members.filter("size > 2").select("key", "id", "n"))
     for turn in range(leaders + 1):
         now = crowded.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "comp")).alias("lead")).filter("lo < hi")
-        met = now.join(apart.select("key", "lead"), "key")
+        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "comp")).alias("lead")).filter("lo < hi")
+        met = now.join(apart.select("key", "lead", "size"), "key")
         if turn < leaders:
             pairs = met.select(F.col("id").alias("x"), "n", "comp", F.col("lead.id").alias("y"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("comp2"))
+            more = None
         else:
-            other = met.select("key", F.col("id").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            pairs = met.select("key", F.col("id").alias("x"), "n", "comp").join(other, "key").filter("x < y")
+            met = saved(met)
+            small = met.filter(F.col("size") <= few).select("key", F.col("id").alias("x"), "n", "comp")
+            other = small.select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+            pairs = small.join(other, "key").filter("x < y")
+            more = saved(_in_blocks(met.filter(F.col("size") > few), sets, percent))
         pairs = pairs.filter((F.col("comp") != F.col("comp2")) & near_size(F.col("n"), F.col("m"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        more = saved(verified(pairs, sets, percent))
+        new = saved(verified(pairs, sets, percent))
         tested = tested.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
+        new = new.unionByName(more) if more is not None else new
+        if not new.isEmpty():
+            links = links.unionByName(new)
             comps = components(links)
     named = classes.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
