@@ -1,11 +1,118 @@
-"""All registered queries of the library, by name."""
+"""All registered queries of the library, by inventory id, over the given tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as X
+from ..operators import marts, pricing, privacy, rereads, search, series
+from ..sources import facade, transcripts
+from . import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def priced(spark: SparkSession, d: str) -> DataFrame:
+    return pricing.price(facade.calls(spark, d))
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Each request as 1 to 3 lines with growing output."""
+    c = facade.calls(spark, d)
+    return c.withColumn("line", F.explode(F.sequence(F.lit(0), (F.col("request_id") % 3).cast("int")))).withColumn("output_tokens", F.col("output_tokens") + F.col("line") * 10)
+
+
+def a01(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.assemble(snapshots(spark, d).withColumn("prompt_id", F.lit("p")), ("line",)).select("session_id", "request_id", "model", "output_tokens", "lines", "origin")
+
+
+def c01(spark: SparkSession, d: str) -> DataFrame:
+    return priced(spark, d).select("request_id", "model_key", "tier", "unpriced", "context_tokens", *[(F.col(f"m_{k}").cast("double") / 1e6).alias(f"usd_{k}") for k in ("input", "output", "cw5", "cw1", "read", "search", "total")])
+
+
+def x05(spark: SparkSession, d: str) -> DataFrame:
+    return facade.calls(spark, d).groupBy("model").agg(F.count("*").alias("calls")).withColumn("model_key", X.model_key(F.col("model")))
+
+
+def w09(spark: SparkSession, d: str) -> DataFrame:
+    m = facade.marks(spark, d)
+    c = rereads.with_generation(facade.calls(spark, d).withColumn("window", X.window_key(F.col("origin"), F.col("agent_id"))), m)
+    r = rereads.with_generation(facade.tools(spark, d).filter("name = 'Read'"), m)
+    return rereads.carry(r, c).select("request_id", "gen", "carry_requests")
+
+
+def w10(spark: SparkSession, d: str) -> DataFrame:
+    return rereads.classify(facade.tools(spark, d), facade.marks(spark, d)).select("request_id", "reason")
+
+
+def a18(spark: SparkSession, d: str) -> DataFrame:
+    r = rereads.classify(facade.tools(spark, d), facade.marks(spark, d))
+    return r.groupBy("session_id", "reason").agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes"))
+
+
+def j11(spark: SparkSession, d: str) -> DataFrame:
+    """Reads and the fixed chunks of 25 lines that they overlap."""
+    r = facade.tools(spark, d).filter("name = 'Read'")
+    chunks = r.groupBy("path").agg(F.max("hi").alias("top")).select("path", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top"), F.lit(25).cast("bigint"))).alias("clo")).withColumn("chi", F.col("clo") + 24)
+    both = r.join(chunks, "path").filter("chi >= lo and clo <= hi")
+    return both.groupBy("request_id").agg(F.sum(F.least("hi", "chi") - F.greatest("lo", "clo") + 1).alias("lines"), F.count("*").alias("chunks"))
+
+
+def c06(spark: SparkSession, d: str) -> DataFrame:
+    c = priced(spark, d)
+    head = c.groupBy("session_id").agg(F.floor(F.sum("m_total").cast("double") * 0.98).alias("headline"))
+    return marts.settled(c, head)
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+
+
+def c13(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.scrubbed(texts(spark, d)).select("id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
+
+
+def c20(spark: SparkSession, d: str) -> DataFrame:
+    q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({search.TERM})"), 1)).alias("term"))
+    return search.bm25(texts(spark, d), q.filter("query_id % 10 = 0")).select("query_id", "rank", "id", "score")
+
+
+def t03(spark: SparkSession, d: str) -> DataFrame:
+    """The live totals of a replay in three segments equal one batch's."""
+    from ..streaming import live
+
+    s = snapshots(spark, d)
+    state = None
+    for i in range(3):
+        part = s.filter(F.col("line") == i)
+        state = live.best(part if state is None else state.unionByName(part))
+    return live.totals(state)
+
+
+def u03(spark: SparkSession, d: str) -> DataFrame:
+    """Known users less those seen again in the second half of the time."""
+    e = facade.events(spark, d)
+    return e.select("user_id").distinct().exceptAll(e.filter("event_id % 2 = 1 and event_type = 'view'").select("user_id").distinct())
+
+
+def queries() -> dict[str, Query]:
+    on = lambda f, *more: lambda s, d: f(priced(s, d), *[m(s, d) for m in more])
+    tools = lambda f: lambda s, d: f(facade.tools(s, d))
+    return {
+        "a01_requests": a01, "c01_price": c01, "x05_model_key": x05,
+        "a03_totals": on(marts.totals), "a04_by_model": on(marts.by_model), "a05_by_origin": on(marts.by_origin), "a06_by_tool": tools(marts.by_tool),
+        "a07_by_turn": on(series.by_turn, facade.prompts), "a08_agents": on(marts.by_agent), "a09_agent_types": on(marts.by_agent_type), "a10_cache": on(marts.cache),
+        "a11_waste": on(marts.waste, facade.tools), "a12_redundant": tools(marts.redundant), "a13_primary_model": on(marts.primary_model), "a18_reread_reasons": a18,
+        "a22_daily_rollup": on(marts.daily), "a37_bounds": on(marts.bounds), "c06_settle": c06, "c12_audit": lambda s, d: privacy.findings(texts(s, d)), "c13_scrub": c13, "c20_bm25": c20,
+        "j04_asof": lambda s, d: series.asof_turn(facade.calls(s, d), facade.prompts(s, d)).select("request_id", "turn_id"), "j11_overlap": j11, "o03_topk": on(series.top_calls),
+        "t03_live": t03, "u03_except": u03, "w04_cumulative": on(series.cumulative), "w05_thinned": on(series.thinned), "w08_growth": on(series.growth, facade.prompts),
+        "w09_carry": w09, "w10_rereads": w10, "w11_islands": lambda s, d: rereads.islands(facade.tools(s, d).filter("name = 'Read'")), "w12_runs": on(series.runs),
+        "w15_day_series": on(series.days), "w19_capped_topk": tools(series.capped), "w20_pseudonyms": lambda s, d: series.pseudonyms(facade.calls(s, d), "agent_id"), "w23_burn": on(series.burn),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
