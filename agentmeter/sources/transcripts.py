@@ -44,7 +44,7 @@ def snapshots(lines: DataFrame) -> DataFrame:
     rid = F.coalesce(F.nullif(field("$.requestId"), F.lit("")), F.concat(F.lit("uuid:"), field("$.uuid")))
     return a.select(
         "session_id", rid.alias("request_id"), "file", "ord", "origin", "agent_id", "workflow_id", "prompt_id", F.try_to_timestamp(field("$.timestamp")).alias("ts"),
-        field("$.message.model").alias("model"), (field(u + "speed") == "fast").alias("fast"), field(u + "inference_geo").alias("geo"),
+        field("$.message.model").alias("model"), F.coalesce(field(u + "speed") == "fast", F.lit(False)).alias("fast"), field(u + "inference_geo").alias("geo"),
         whole(field(u + "input_tokens", "bigint")).alias("input_tokens"), whole(field(u + "output_tokens", "bigint")).alias("output_tokens"),
         whole(field(u + "cache_creation_input_tokens", "bigint")).alias("cw_total"), whole(field(u + "cache_creation.ephemeral_1h_input_tokens", "bigint")).alias("cw_hour"),
         whole(field(u + "cache_read_input_tokens", "bigint")).alias("cache_read"), whole(field(u + "server_tool_use.web_search_requests", "bigint")).alias("searches"),
