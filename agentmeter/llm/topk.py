@@ -120,7 +120,7 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bloc
     if blocks > 1:
         floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") >= k)
         known = queries.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-        spread = known.withColumn("block", F.explode(numbers(1, blocks - 1)))
+        spread = saved(known).withColumn("block", F.explode(numbers(1, blocks - 1)))
         found = found.unionByName(against(dealt.filter("block > 0"), spread))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranks = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -39,7 +39,7 @@ def empty(docs):
 
 def test_neardup(docs, empty):
     rows, df = docs
-    sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for i, t, *_ in rows if (w := (t or "").lower().split())}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for i, t, *_ in rows if (w := (t or "").encode().lower().split())}
     comp = {i: i for i, *_ in rows}
 
     def top(i):
