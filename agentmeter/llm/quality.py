@@ -207,7 +207,8 @@ def score(docs: DataFrame, labels: DataFrame, train_on: Column, space: Space | N
     features = _featured(sent, space)
     # a sample of bounded size: its rows are small enough to go to every worker
     taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", features("text").alias("x"))
-    rows = taught.orderBy(F.xxhash64("x"), "quality").toPandas()
+    # at most about max_train rows: put in an order of their own here, as a sort in Spark would make the features twice
+    rows = taught.toPandas().sort_values(["x", "quality"], ignore_index=True)
     width = 2 * space.dims + 7
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, width).astype(float)
     net = spark.sparkContext.broadcast(train(x, rows["quality"].to_numpy(float)))
