@@ -1,0 +1,76 @@
+"""Findings and savings: threshold findings, levers with an estimate, and what they add up to.
+
+Every figure is a column of one row a session, so that no lever needs a pass of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Share of its lever's cost that is saved.
+FANOUT, TOOL_OUTPUT = 0.25, 0.10
+#: USD of a find and a slice; share of a whole file that a slice costs.
+ROUND_TRIP, SLICE = 0.048, 0.122
+
+
+def facts(priced: DataFrame, tools: DataFrame) -> DataFrame:
+    """One row a session with all that findings and levers look at; money in millionths."""
+    side, bad = F.col("origin") != "main", F.col("is_error")
+    m = lambda c: F.coalesce(F.sum(F.when(c, F.col("m_total"))), F.lit(0).cast("decimal(38,5)")).cast("double")
+    of = lambda c: F.sum(c).cast("double")
+    c = priced.groupBy("session_id").agg(
+        F.count("*").alias("calls"), of("m_total").alias("m"), of("m_read").alias("m_read"), of("m_input").alias("m_input"), of(F.col("m_cw5") + F.col("m_cw1")).alias("m_write"), of("m_output").alias("m_output"), of("m_cw1").alias("m_cw1"),
+        m(side).alias("m_side"), m(bad).alias("m_failed"), F.count_if("unpriced").alias("unpriced"), F.count_if(bad).alias("failed"), F.max("context_tokens").alias("peak"),
+        F.sum("cache_read").cast("double").alias("read_tokens"), F.sum("context_tokens").cast("double").alias("context_tokens"), F.countDistinct("agent_id").alias("agents"),
+    )
+    t = tools.groupBy("session_id").agg(F.count("*").alias("uses"), F.count_if(bad).alias("tool_errors"), F.sum("bytes").alias("tool_bytes"), F.count_if(F.col("name") == "Read").alias("reads"))
+    return c.join(t, "session_id", "left").na.fill(0, ["uses", "tool_errors", "tool_bytes", "reads"])
+
+
+def findings(f: DataFrame, session_budget: float = 25.0) -> DataFrame:
+    """session_id, code, severity, value: what is above its threshold."""
+    share = lambda a, b: F.expr(f"coalesce({a} / nullif({b}, 0), 0D)")
+    rules = (
+        ("unpriced", "warn", F.col("unpriced").cast("double"), 0.0), ("cache_hit", "info", share("read_tokens", "context_tokens"), 0.9), ("read_share", "warn", share("m_read", "m"), 0.55),
+        ("side_share", "warn", share("m_side", "m"), 0.5), ("failed_calls", "warn", F.col("failed").cast("double"), 0.0), ("tool_errors", "warn", share("cast(tool_errors as double)", "uses"), 0.05),
+        ("budget", "warn", F.col("m") / 1e6, session_budget), ("peak_context", "info", F.col("peak").cast("double"), 150000.0),
+    )
+    rows = F.array(*[F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), value.alias("value"), F.lit(least).alias("least")) for code, sev, value, least in rules])
+    return f.select("session_id", F.explode(rows).alias("r")).select("session_id", "r.*").filter("value > least").select("session_id", "code", "severity", "value")
+
+
+def levers(f: DataFrame) -> DataFrame:
+    """session_id, lever, grp, usd, share, rank: what could be saved, above a cent. Levers of one group save the same money."""
+    zero = F.lit(0.0)
+    tokens = F.col("tool_bytes") / 4
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("lever"), F.lit(group).alias("grp"), (m / 1e6).alias("usd"))
+        for name, group, m in (
+            ("fanout-width", "fanout-width", F.col("m_side") * FANOUT), ("tool-output", "context", (F.col("m_read") + F.col("m_write")) * TOOL_OUTPUT), ("errors", "errors", F.col("m_failed")),
+            ("cache-ttl", "cache-ttl", F.col("m_cw1") * 0.375), ("slice-for-agents", "context", F.greatest(zero, tokens * 0.126 * 1000 * (1 - SLICE) - F.col("reads") * ROUND_TRIP * 1e6)),
+        )
+    ])
+    out = f.select("session_id", "m", F.explode(rows).alias("r")).select("session_id", "m", "r.*").filter("usd > 0.01")
+    w = Window.partitionBy("session_id").orderBy(F.desc("usd"), "lever")
+    return out.select("session_id", "lever", "grp", "usd", F.expr("usd / nullif(m / 1e6D, 0D)").alias("share"), F.row_number().over(w).alias("rank"))
+
+
+def combined(l: DataFrame) -> DataFrame:  # noqa: E741
+    """Per session: the best lever of each group, summed, so that shared money counts once."""
+    g = l.groupBy("session_id", "grp").agg(F.max("usd").alias("usd"))
+    return g.groupBy("session_id").agg(F.round(F.sum("usd"), 5).alias("usd"), F.count("*").alias("groups"))
+
+
+def corpus(l: DataFrame) -> DataFrame:  # noqa: E741
+    """Over all sessions: each lever's sessions and sum."""
+    return l.groupBy("lever").agg(F.count("*").alias("sessions"), F.round(F.sum("usd"), 4).alias("usd"))
+
+
+def turn_residency(by_turn: DataFrame) -> DataFrame:
+    """Per session with three turns or more: median price of a turn and of a request."""
+    # whole hundred-thousandths of millionths, so that the mean of two middle values is exact
+    whole = F.round(F.col("usd_total") * 1e11).cast("bigint")
+    t = by_turn.filter("turn_id >= 0").select("session_id", whole.alias("w"), "calls").groupBy("session_id")
+    t = t.agg(F.count("*").alias("turns"), F.percentile("w", 0.5).alias("turn"), F.percentile(F.expr("w div calls"), 0.5).alias("call"))
+    return t.filter("turns >= 3").select("session_id", "turns", (F.col("turn") / 1e11).alias("turn_usd"), (F.col("call") / 1e11).alias("call_usd"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..operators import marts, pricing, privacy, rereads, search, series
 from ..sources import facade, transcripts
-from . import oracle
+from . import more, more_sql, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,8 +111,9 @@ def queries() -> dict[str, Query]:
         "t03_live": t03, "u03_except": u03, "w04_cumulative": on(series.cumulative), "w05_thinned": on(series.thinned), "w08_growth": on(series.growth, facade.prompts),
         "w09_carry": w09, "w10_rereads": w10, "w11_islands": lambda s, d: rereads.islands(facade.tools(s, d).filter("name = 'Read'")), "w12_runs": on(series.runs),
         "w15_day_series": on(series.days), "w19_capped_topk": tools(series.capped), "w20_pseudonyms": lambda s, d: series.pseudonyms(facade.calls(s, d), "agent_id"), "w23_burn": on(series.burn),
+        **more.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return oracle.sql() | more_sql.sql(oracle.FACTS)
