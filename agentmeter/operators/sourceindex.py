@@ -54,7 +54,7 @@ def symbols(texts: DataFrame) -> DataFrame:
     ends = texts.select("id", F.size(F.split("text", "\n")).alias("n"))
     each = s.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line", "indent", "kind", "name"))).alias("all"))
     # a text's symbols are as many as its lines at most: the array is bounded by the text itself
-    hi = F.expr("coalesce(element_at(filter(slice(all, pos + 2, size(all)), x -> x.indent <= s.indent), 1).line - 1, n)")
+    hi = F.expr("coalesce(try_element_at(filter(slice(all, pos + 2, size(all)), x -> x.indent <= s.indent), 1).line - 1, n)")
     each = each.join(ends, "id").select("id", "n", "all", F.posexplode("all").alias("pos", "s"))
     return each.select("id", "s.kind", "s.name", F.col("s.line").alias("lo"), hi.alias("hi"))
 
