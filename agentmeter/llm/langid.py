@@ -6,6 +6,12 @@ forward algorithm. The probabilities are fitted by expectation maximisation (for
 over the word counts of a sample of labelled documents, bounded by docs_per_lang; a text's score
 is the posterior of its most probable language, from all of its words.
 
+That posterior knows the learned languages only: of a long text in any other it is near 1 too. A
+model with a gauge also says whether a text is likely at all. Its gain is what its distinct words,
+each in the language that gives it most, have over a baseline of the letters of all training rows,
+in nats a letter; the least gain of a language is zero, or BELOW_MEDIAN under the median of its
+training rows where that is less. A text is unlikely if it falls short of that by SHORTFALL in all.
+
 Words are lower-cased runs of letters. Of a word longer than MAX_WORD letters each stretch of
 that length is scored by itself. Letters outside the vocabulary cost the same in any language.
 
@@ -15,6 +21,7 @@ documents every text is; ties go to the language first in code point order.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,6 +37,7 @@ UNKNOWN = "und"
 BEGIN = "▁"  # the vocabulary's sign for the begin of a word
 MAX_WORD, MAX_PIECE = 40, 12
 LETTER_FLOOR = 1e-7
+BELOW_MEDIAN, SHORTFALL = 1.0, 5.0
 _runs = re.compile(r"[^\W\d_]+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,8 +139,12 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 
 
 class Model:
+    """letters: the baseline's log probabilities, least: the least gain of each language; None without a gauge."""
+
     def __init__(self, langs: list[str], pieces: list[str], p: np.ndarray, prior: np.ndarray):
         self.langs, self.pieces, self.p, self.prior = langs, pieces, p, prior
+        self.letters: dict[str, float] | None = None
+        self.least: np.ndarray | None = None
 
 
 class Scorer:
@@ -143,6 +155,7 @@ class Scorer:
         self.lattice = Lattice(model.pieces)
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.langs)))
+        self.gains = np.empty((0, 2))  # over the baseline, and letters, the begin included
 
     def learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.known]
@@ -153,31 +166,44 @@ class Scorer:
                 rows[own] = self.lattice.forward([BEGIN + new[i] for i in own], self.model.p)[0]
         self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
         self.rows = np.concatenate([self.rows, rows])
-
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if (own := self.model.letters) is not None:
+            other = -math.log(max(len(own), 1))  # letters of no training row: as an average one
+            base = [sum(own.get(c, other) for c in BEGIN + w) for w in new]
+            gains = np.array([rows.max(axis=1) - base, [len(w) + 1 for w in new]]).T
+            self.gains = np.concatenate([self.gains, gains])
+
+    def gain(self, at: np.ndarray, best: int) -> tuple[float | None, bool | None]:
+        """A text's gain a letter, and whether that is likely in its best language."""
+        if self.model.letters is None:
+            return None, None
+        total, n = self.gains[np.unique(at)].sum(axis=0)
+        return float(total / n), None if self.model.least is None else bool(total >= n * self.model.least[best] - SHORTFALL)
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool | None]]:
         if not self.model.langs:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, None, False)] * len(texts)
         if len(self.known) > self.max_words:
-            self.known, self.rows = {}, self.rows[:0]
+            self.known, self.rows, self.gains = {}, self.rows[:0], self.gains[:0]
         split = [words_of(t) for t in texts]
         self.learn([w for words in split for w in words if w not in self.known])
         out = []
         for words in split:
             if not words:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, None, False))
                 continue
             at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             x = self.rows[at].sum(axis=0) + self.model.prior
             best = int(x.argmax())
-            out.append((self.model.langs[best], float(1 / np.exp(x - x[best]).sum())))
+            out.append((self.model.langs[best], float(1 / np.exp(x - x[best]).sum()), *self.gain(at, best)))
         return out
 
 
-def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int = 1500, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int = 1500, rounds: int = 3, gauge: bool = False) -> Model:
     """docs: doc_id, text, lang. Learns from rows where train holds and lang is not null.
 
     The sample takes each language's rows whose hash lies under docs_per_lang over their count,
-    so it needs no shuffle of texts; a language with fewer rows gives all.
+    so it needs no shuffle of texts; a language with fewer rows gives all. The medians of a gauge
+    are those of another sample, of a fifth as many.
     """
     spark = docs.sparkSession
     rows = docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
@@ -186,8 +212,12 @@ def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int =
     pieces = usable(pieces)
     if not langs:
         return Model([], pieces, np.empty((len(pieces) + 1, 0)), np.empty(0))
-    part = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_lang / counts[k]))])[F.col("lang")]
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < part * 1_000_000)
+
+    def sampled(n: float, salt: int) -> DataFrame:
+        part = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, n / counts[k]))])[F.col("lang")]
+        return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < part * 1_000_000)
+
+    sample = sampled(docs_per_lang, 17)
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
@@ -222,20 +252,28 @@ def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int =
         p = (c + 0.05) / (c + 0.05).sum(axis=0)
         p[-1] = LETTER_FLOOR
     all_ = sum(counts.values())
-    return Model(langs, pieces, p, np.log([counts[k] / all_ for k in langs]))
+    model = Model(langs, pieces, p, np.log([counts[k] / all_ for k in langs]))
+    if gauge:
+        c = tally.select(F.explode(F.split(F.concat(F.lit(BEGIN), "word"), "")).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("n")).collect()
+        uses = sum(r["n"] for r in c)
+        model.letters = {r["letter"]: math.log(r["n"] / uses) for r in c}  # an alphabet's rows
+        mid = {r["lang"]: r["mid"] for r in identify(sampled(docs_per_lang / 5, 23), model).groupBy("lang").agg(F.percentile_approx("gain", 0.5).alias("mid")).collect()}
+        # a language without letters in its sample has no median and rejects nothing
+        model.least = np.array([-np.inf if mid.get(k) is None else min(0.0, mid[k] - BELOW_MEDIAN) for k in langs])
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus lang_pred and score, from text alone."""
+    """docs plus lang_pred and score, from text alone; with a gauge gain and likely, else null."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, gain double, likely boolean")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for batch in texts:
             rows = []
             for i in range(0, len(batch), 256):
                 rows += scorer.score(batch.iloc[i : i + 256].tolist())
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "gain", "likely"]).astype({"gain": "float64", "likely": "boolean"})
 
-    return docs.withColumn("_said", scored("text")).withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
+    return docs.withColumn("_said", scored("text")).select("*", "_said.*").drop("_said")

@@ -227,6 +227,28 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_language_stage_drops_unlearned_texts(spark):
+    import corpus_pipeline
+
+    en = "the house and garden with many trees where old people walk under green leaves while children play near water all day long".split()
+    fr = "la maison et le jardin avec beaucoup d arbres où les vieux marchent sous des feuilles vertes pendant que enfants jouent près de eau".split()
+    own, say = random.Random(3), lambda words, n: " ".join(own.choices(words, k=n))
+    rows = [(i, say(en if i % 2 else fr, own.randint(3, 90)), "en" if i % 2 else "fr") for i in range(120)]
+    rows += [(200, say(en, 60) + " " + say(fr, 60), "en"), (201, "trees", None), (202, "the " * 300, None), (203, say(fr, 200), None)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [
+        " ".join("".join(own.choices(letters, k=own.randint(2, 9))) for _ in range(200)),
+        "漢字文書処理" * 50,
+        "старый человек шёл через лес и увидел большое озеро где дети играли весь день " * 5,
+        "𐐨𐐩𐐪𐐫 𐐬𐐭𐐮𐐯 " * 40,  # outside the vocabulary
+        "vanha mies kulki metsän läpi ja näki suuren järven jonka rannalla lapset leikkivät koko päivän " * 3,
+        "stary człowiek szedł przez las i zobaczył wielkie jezioro gdzie dzieci bawiły się przez cały dzień " * 3,
+    ]
+    df = spark.createDataFrame(rows + [(300 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, df, "")
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {i for i, _, _ in rows}
+
+
 def test_forward_sums_all_segmentations():
     own = ["a", "b", "ab", "aba", "ba"]
     p = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [1e-7]])
