@@ -10,7 +10,8 @@ That posterior knows the learned languages only: of a long text in any other it
 model with a gauge also says whether a text is likely at all. Its gain is what its distinct words,
 each in the language that gives it most, have over a baseline of the letters of all training rows,
 in nats a letter; the least gain of a language is zero, or BELOW_MEDIAN under the median of its
-training rows where that is less. A text is unlikely if it falls short of that by SHORTFALL in all.
+training rows where that is less. A text is unlikely if it falls short of that by SHORTFALL in all:
+a key or a name does not make a short text unlikely, and a few words alone are hardly ever.
 
 Words are lower-cased runs of letters. Of a word longer than MAX_WORD letters each stretch of
 that length is scored by itself. Letters outside the vocabulary cost the same in any language.
@@ -37,7 +38,7 @@ UNKNOWN = "und"
 BEGIN = "▁"  # the vocabulary's sign for the begin of a word
 MAX_WORD, MAX_PIECE = 40, 12
 LETTER_FLOOR = 1e-7
-BELOW_MEDIAN, SHORTFALL = 1.0, 5.0
+BELOW_MEDIAN, SHORTFALL = 1.0, 30.0
 _runs = re.compile(r"[^\W\d_]+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
