@@ -36,7 +36,7 @@ from .common import saved
 
 UNKNOWN = "und"
 BEGIN = "▁"  # the vocabulary's sign for the begin of a word
-MAX_WORD, MAX_PIECE = 40, 12
+MAX_WORD = 40
 LETTER_FLOOR = 1e-7
 BELOW_MEDIAN, SHORTFALL = 1.0, 30.0
 _runs = re.compile(r"[^\W\d_]+").findall
@@ -79,9 +79,10 @@ class Lattice:
         own = np.array([int(_prefix(_codes([p]))[0, -1]) for p in pieces], np.uint64)
         self.order = np.argsort(own)
         self.hashes = own[self.order]
+        self.longest = max(map(len, pieces), default=1)
         self.power = [np.uint64(1)]
         with np.errstate(over="ignore"):
-            for _ in range(MAX_PIECE):
+            for _ in range(self.longest):
                 self.power.append(self.power[-1] * _BASE)
 
     def ids(self, h: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -102,7 +103,7 @@ class Lattice:
         alpha[0] = 1.0
         arcs = []
         for j in range(1, n + 1):
-            for i in range(max(0, j - MAX_PIECE), j):
+            for i in range(max(0, j - self.longest), j):
                 ids = self.ids(h, i, j)
                 if j - i == 1:  # a single letter always passes, at the floor at least
                     ids = np.where(ids < 0, len(p) - 1, ids)
@@ -129,7 +130,7 @@ class Lattice:
 
 def usable(pieces: list[str]) -> list[str]:
     """The vocabulary's lower-case letter pieces, in order, once each."""
-    return list(dict.fromkeys(p for p in pieces if 0 < len(p) <= MAX_PIECE and p.removeprefix(BEGIN).isalpha() and p == p.lower()))
+    return list(dict.fromkeys(p for p in pieces if p.removeprefix(BEGIN).isalpha() and p == p.lower()))
 
 
 def by_length(words: list[str]) -> dict[int, list[int]]:

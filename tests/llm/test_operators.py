@@ -262,6 +262,14 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(lattice.expected(["abab"], np.array([2.0]), p, 0)[:5] @ [1, 1, 2, 3, 2], 8.0)
 
 
+def test_long_pieces_take_part():
+    long = max((x for x in pieces() if x.removeprefix("▁").isalpha() and x == x.lower()), key=len)
+    assert len(long) > 12 and long in langid.usable(pieces()) and "" not in langid.usable(["", "▁", "a"])
+    lattice = langid.Lattice(["a", "ab" * 10])
+    p = np.array([[0.1], [0.25], [1e-7]])
+    assert math.isclose(np.exp(lattice.forward(["ab" * 10], p)[0][0, 0]), 0.25 + (0.1 * 1e-7) ** 10)
+
+
 def test_quality(spark, empty):
     good = [(i, text(40) + ".", 1) for i in range(150)]
     bad = [(1000 + i, " ".join(w + "***" for w in text(40).split()), 0) for i in range(150)]
