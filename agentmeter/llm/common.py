@@ -1,11 +1,14 @@
-"""What the operators of this subpackage share: inputs, folds, shared storage."""
+"""What the operators of this subpackage share: inputs, folds, shared storage, what workers keep."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,38 +28,99 @@ def fold(key: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a temporary folder; a cluster has no folder that all
+    machines see but the one it names, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="agentmeter-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder and read again: lineage ends here and survives a lost executor.
 
-    Column names that clash are the caller's to resolve: it selects what it needs first.
+    The table stays until `forget` or the end of the session. Column names that clash are the
+    caller's to resolve: it selects what it needs first.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/agentmeter-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_forget_all)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `saved` that nothing will read again, results that are still to be made included."""
+    for t in tables:
+        path = getattr(t, "_saved_at", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _forget_all() -> None:
+    for path, spark in _written.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone: the folder is the cluster's to clean
+            return
+
+
+#: Spark's own defaults of the two settings below.
+_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(16 << 20))}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches small enough that a batch of very long ones fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Texts go to Python in batches small enough that a batch of very long ones fits a worker.
+
+    A setting of the session, as Spark has no other place for it; one that the user changed stays.
+    """
+    for name, (default, own) in _DEFAULTS.items():
+        if spark.conf.get(name, default).lower() == default:
+            spark.conf.set(name, own)
+
+
+def without(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs less its own columns that an operator's results would clash with: the results win."""
+    clash = {c.lower() for c in columns}
+    return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in clash])
+
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs in one struct, so that no name of an operator's own meets theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session is gone: the folder is the cluster's to clean
-        pass
+
+_kept: dict[str, tuple[Broadcast, Any]] = {}
+
+
+def once(name: str, sent: Broadcast, make: Callable[[Any], Any]) -> Any:
+    """What make builds of a broadcast's value, once in a worker process: its later tasks find it there.
+
+    One thing a name is kept, so a worker's memory is bounded by the names.
+    """
+    held = _kept.get(name)
+    if held is None or held[0] is not sent:
+        _kept[name] = held = (sent, make(sent.value))
+    return held[1]
 
 
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -64,7 +128,8 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours and then the label of that
     label, so that the rounds grow with the logarithm of the longest path. Both steps are
-    equi-joins and partial aggregates; labels are written to the shared folder each round.
+    equi-joins and partial aggregates; labels are written to the shared folder each round and
+    those of the round before deleted.
     """
     edges = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
@@ -73,7 +138,10 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         hop = labels.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
         new = saved(step.join(hop, "comp").select("id", F.least("comp", "far").alias("comp"), "was"))
+        forget(labels)
         if new.filter("comp <> was").isEmpty():
+            forget(edges)
             return new.select("id", "comp")
         labels = new.select("id", "comp")
+        labels._saved_at = new._saved_at
     raise RuntimeError("the components did not settle")

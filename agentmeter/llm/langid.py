@@ -13,18 +13,20 @@ in nats a letter; the least gain of a language is zero, or BELOW_MEDIAN under th
 training rows where that is less. A text is unlikely if it falls short of that by SHORTFALL in all:
 a key or a name does not make a short text unlikely, and a few words alone are hardly ever.
 
-Words are lower-cased runs of letters. Of a word longer than MAX_WORD letters each stretch of
-that length is scored by itself. Letters outside the vocabulary cost the same in any language.
+Words are lower-cased runs of letters, of any length. Pieces that hold anything but lower-case
+letters and the sign of a word's begin fit no such word and are left out without loss. Letters
+outside the vocabulary cost the same in any language.
 
 Defined results: a null text or one without letters is `und` with score 0; without training
-documents every text is; ties go to the language first in code point order.
+documents every text is; ties go to the language first in code point order; repeated rows stay
+rows and count each; columns of docs named like a result give way to it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,99 +34,173 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, once, packed, saved, without
 
 UNKNOWN = "und"
 BEGIN = "▁"  # the vocabulary's sign for the begin of a word
-MAX_WORD = 40
+SHORT = 30  # words up to this length are summed together without scaling; longer ones one by one
 LETTER_FLOOR = 1e-7
 BELOW_MEDIAN, SHORTFALL = 1.0, 30.0
 _runs = re.compile(r"[^\W\d_]+").findall
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The letter runs of a text, lower-cased; long ones in stretches."""
-    if not text:
-        return []
-    out = []
-    for w in _runs(text.lower()):
-        if not w.isalpha():
-            w = "".join(c for c in w if c.isalpha())
-        if len(w) > MAX_WORD:
-            out += [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-        elif w:
-            out.append(w)
-    return out
-
+def letters_of(run: str) -> str:
+    """A run's letters alone: the pattern of runs lets some signs like Roman numerals through."""
+    return run if run.isalpha() else "".join(c for c in run if c.isalpha())
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Words of one length as rows of mixed code points."""
-    cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
-    return (cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
 
-
-def _prefix(codes: np.ndarray) -> np.ndarray:
-    """h[:, j]: the polynomial hash of the first j letters."""
-    h = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    for j in range(codes.shape[1]):
-        h[:, j + 1] = (h[:, j] + codes[:, j]) * _BASE
-    return h
+def words_of(text: str | None) -> list[str]:
+    """The letter runs of a text, lower-cased."""
+    return [w for run in _runs(text.lower()) if (w := letters_of(run))] if text else []
 
 
 class Lattice:
-    """Finds the pieces in words; the forward and backward sums over all segmentations."""
+    """Finds the pieces in words by a trie; the forward and backward sums over all segmentations."""
+
+    DENSE = 64  # letters with a column of their own in the table of steps; rarer ones are searched for
 
     def __init__(self, pieces: list[str]):
-        own = np.array([int(_prefix(_codes([p]))[0, -1]) for p in pieces], np.uint64)
-        self.order = np.argsort(own)
-        self.hashes = own[self.order]
+        step: dict[tuple[int, str], int] = {}
+        end, used = [-1], Counter()
+        for k, piece in enumerate(pieces):
+            at = 0
+            for c in piece:
+                if (at, c) not in step:
+                    step[at, c] = len(end)
+                    end.append(-1)
+                    used[c] += 1
+                at = step[at, c]
+            end[at] = k
+        self.end = np.array(end, np.int32)
         self.longest = max(map(len, pieces), default=1)
-        self.power = [np.uint64(1)]
-        with np.errstate(over="ignore"):
-            for _ in range(self.longest):
-                self.power.append(self.power[-1] * _BASE)
-
-    def ids(self, h: np.ndarray, i: int, j: int) -> np.ndarray:
-        """The pieces that words have from letter i to j, -1 for none."""
-        with np.errstate(over="ignore"):
-            x = h[:, j] - h[:, i] * self.power[j - i]
-        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == x, self.order[at], -1)
+        codes = {c: i for i, (c, _) in enumerate(used.most_common(), 1)}
+        self.code = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.code[[ord(c) for c in codes]] = list(codes.values())
+        self.table = np.zeros((len(end), self.DENSE), np.int32)
+        self.width = np.int64(len(codes) + 1)
+        rare = sorted((at * int(self.width) + codes[c], to) for (at, c), to in step.items() if codes[c] >= self.DENSE)
+        self.keys, self.to = np.array([x[0] for x in rare], np.int64), np.array([x[1] for x in rare], np.int32)
+        for (at, c), to in step.items():
+            if codes[c] < self.DENSE:
+                self.table[at, codes[c]] = to
+
+    def codes(self, words: str) -> np.ndarray:
+        return self.code[np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Where each node goes with a letter; 0 for nowhere."""
+        rare = code >= self.DENSE
+        if not rare.any():
+            return self.table[node, code]
+        out = self.table[node, np.where(rare, 0, code)]
+        at = np.flatnonzero(rare)
+        if len(self.keys):
+            key = node[at] * self.width + code[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[at] = np.where(self.keys[place] == key, self.to[place], 0)
+        return out
+
+    def arcs(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Of words of one length: from, to, rows and pieces, by rising start; a single letter always passes."""
+        code = self.codes("".join(words)).reshape(len(words), -1)
+        n, none = code.shape[1], -1
+        for i in range(n):
+            rows, node = np.arange(len(words)), np.zeros(len(words), np.int32)
+            for j in range(i + 1, n + 1):
+                node = self.step(node, code[rows, j - 1])
+                ids = self.end[node]
+                if j == i + 1:
+                    yield i, j, rows, ids  # -1: the last row of the probabilities, the floor
+                else:
+                    hit = ids > none
+                    if hit.any():
+                        yield i, j, rows[hit], ids[hit]
+                on = node > 0
+                if not on.all():
+                    rows, node = rows[on], node[on]
+                    if not len(rows):
+                        break
 
     def forward(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """For words of one length: log sums (word, language), scaled alphas, and the arcs.
+        """For words of one length, SHORT at most: log sums (word, language), alphas, and the arcs.
 
         p: (piece, language), the last row that of a letter in no piece.
         """
-        h = _prefix(_codes(words))
-        n = h.shape[1] - 1
-        alpha = np.zeros((n + 1, len(words), p.shape[1]))
+        alpha = np.zeros((len(words[0]) + 1, len(words), p.shape[1]))
         alpha[0] = 1.0
-        arcs = []
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                ids = self.ids(h, i, j)
-                if j - i == 1:  # a single letter always passes, at the floor at least
-                    ids = np.where(ids < 0, len(p) - 1, ids)
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    alpha[j, rows] += alpha[i, rows] * p[ids[rows]]
-                    arcs.append((i, j, rows, ids[rows]))
-        return np.log(alpha[n]), alpha, arcs
+        arcs = list(self.arcs(words))
+        for i, j, rows, ids in arcs:
+            if len(rows) == len(words):
+                alpha[j] += alpha[i] * p[ids]
+            else:
+                alpha[j, rows] += alpha[i, rows] * p[ids]
+        return np.log(alpha[-1]), alpha, arcs
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray, lang: int) -> np.ndarray:
         """The expected uses of each piece in words of one length, under one language."""
         q = p[:, lang : lang + 1]
+        if len(words[0]) > SHORT:
+            return sum(self._expected_long(w, n, q[:, 0]) for w, n in zip(words, counts, strict=True))
         _, alpha, arcs = self.forward(words, q)
         beta = np.zeros_like(alpha)
         beta[-1] = 1.0
-        out = np.zeros(len(p))
-        total = alpha[-1, :, 0]
+        weight, uses = counts / alpha[-1, :, 0], []
         for i, j, rows, ids in reversed(arcs):
             flow = q[ids, 0] * beta[j, rows, 0]
             beta[i, rows, 0] += flow
-            out += np.bincount(ids, weights=counts[rows] * alpha[i, rows, 0] * flow / total[rows], minlength=len(p))
+            uses.append(weight[rows] * alpha[i, rows, 0] * flow)
+        return np.bincount(np.concatenate([x[3] for x in reversed(arcs)]) % len(p), weights=np.concatenate(uses), minlength=len(p))
+
+    def ending(self, word: str, stretch: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each end in a word of any length: the pieces' lengths and ids, found stretch by stretch."""
+        code = self.codes(word)
+        n = len(code)
+        held: dict[int, list] = defaultdict(list)
+        for a in range(0, n, stretch):
+            start = np.arange(a, min(n, a + stretch))
+            node = np.zeros(len(start), np.int32)
+            for k in range(1, self.longest + 1):
+                start, node = start[start + k <= n], node[start + k <= n]
+                node = self.step(node, code[start + k - 1])
+                ids = self.end[node]
+                hit = (ids >= 0) if k > 1 else np.ones(len(ids), bool)
+                for s, x in zip(start[hit].tolist(), ids[hit].tolist(), strict=True):
+                    held[s + k].append((k, x))
+                start, node = start[node > 0], node[node > 0]
+                if not len(start):
+                    break
+            for j in range(a + 1, min(n, a + stretch) + 1):
+                own = sorted(held.pop(j))
+                yield j, np.array([x[0] for x in own]), np.array([x[1] for x in own])
+
+    def long_sum(self, word: str, p: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """The log sum of one word of any length by language; with keep also each end's alphas and scale."""
+        near = np.zeros((self.longest + 1, p.shape[1]))  # the last alphas, scaled so that the newest is 1
+        near[0] = 1.0
+        scale, kept = np.zeros(p.shape[1]), []
+        for _, k, ids in self.ending(word):
+            new = (near[k - 1] * p[ids]).sum(axis=0)
+            scale = scale + np.log(new)
+            near[1:] = near[:-1] / new
+            near[0] = 1.0
+            if keep:
+                kept.append((k, ids, new[0]))
+        return scale, kept
+
+    def _expected_long(self, word: str, count: float, q: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(q))
+        _, kept = self.long_sum(word, q[:, None], keep=True)
+        # alphas scaled to 1 at every end: between two ends lies the product of the factors
+        factor = np.log([x[2] for x in kept])
+        total = np.concatenate([[0.0], np.cumsum(factor)])
+        n = len(kept)
+        beta = np.full(n + 1, -np.inf)  # logs, of the betas times the alphas at their place
+        beta[n] = 0.0
+        for j in range(n, 0, -1):
+            k, ids, _ = kept[j - 1]
+            flow = beta[j] + np.log(q[ids]) + total[j - k] - total[j]
+            out += np.bincount(ids % len(q), weights=count * np.exp(flow), minlength=len(q))
+            beta[j - k] = np.logaddexp(beta[j - k], flow)
         return out
 
 
@@ -150,29 +226,39 @@ class Model:
 
 
 class Scorer:
-    """Texts to languages; the scores of words seen are kept, within a bound."""
+    """Texts to languages; the scores of runs seen are kept, within a bound of runs and of letters."""
 
-    def __init__(self, model: Model, max_words: int = 600_000):
-        self.model, self.max_words = model, max_words
+    def __init__(self, model: Model, max_words: int = 600_000, max_letters: int = 20_000_000):
+        self.model, self.max_words, self.max_letters = model, max_words, max_letters
         self.lattice = Lattice(model.pieces)
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.empty((0, len(model.langs)))
-        self.gains = np.empty((0, 2))  # over the baseline, and letters, the begin included
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        rows = np.empty((len(new), len(self.model.langs)))
-        for _, at in by_length(new).items():
-            for k in range(0, len(at), 20_000):
-                own = at[k : k + 20_000]
-                rows[own] = self.lattice.forward([BEGIN + new[i] for i in own], self.model.p)[0]
-        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.held = 0  # letters of the runs known
+        # row 0: of a run without letters
+        self.rows = np.zeros((1, len(self.model.langs)))
+        self.gains = np.zeros((1, 2))  # over the baseline, and letters, the begin included
+
+    def learn(self, runs: list[str]) -> None:
+        words = list(map(letters_of, runs))
+        real = [i for i, w in enumerate(words) if w]
+        rows = np.empty((len(real), len(self.model.langs)))
+        for n, at in by_length([words[i] for i in real]).items():
+            for k in range(0, len(at), 5_000):
+                own = at[k : k + 5_000]
+                full = [BEGIN + words[real[i]] for i in own]
+                rows[own] = self.lattice.forward(full, self.model.p)[0] if n < SHORT else [self.lattice.long_sum(w, self.model.p)[0] for w in full]
+        place = dict.fromkeys(runs, 0)
+        place.update(zip((runs[i] for i in real), range(len(self.rows), len(self.rows) + len(real)), strict=True))
+        self.known.update(place)
+        self.held += sum(map(len, runs))
         self.rows = np.concatenate([self.rows, rows])
         if (own := self.model.letters) is not None:
             other = -math.log(max(len(own), 1))  # letters of no training row: as an average one
-            base = [sum(own.get(c, other) for c in BEGIN + w) for w in new]
-            gains = np.array([rows.max(axis=1) - base, [len(w) + 1 for w in new]]).T
-            self.gains = np.concatenate([self.gains, gains])
+            base = [sum(own.get(c, other) for c in BEGIN + words[i]) for i in real]
+            gains = np.array([rows.max(axis=1) - base, [len(words[i]) + 1 for i in real]]).T
+            self.gains = np.concatenate([self.gains, gains.reshape(-1, 2)])
 
     def gain(self, at: np.ndarray, best: int) -> tuple[float | None, bool | None]:
         """A text's gain a letter, and whether that is likely in its best language."""
@@ -184,32 +270,36 @@ class Scorer:
     def score(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool | None]]:
         if not self.model.langs:
             return [(UNKNOWN, 0.0, None, False)] * len(texts)
-        if len(self.known) > self.max_words:
-            self.known, self.rows, self.gains = {}, self.rows[:0], self.gains[:0]
-        split = [words_of(t) for t in texts]
-        self.learn([w for words in split for w in words if w not in self.known])
+        if len(self.known) > self.max_words or self.held > self.max_letters:
+            self.clear()
+        split = [_runs(t.lower()) if t else [] for t in texts]
+        new = {w for runs in split for w in runs if w not in self.known}
+        if new:
+            self.learn(sorted(new))
         out = []
-        for words in split:
-            if not words:
+        for runs in split:
+            at = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+            at = at[at > 0]
+            if not len(at):
                 out.append((UNKNOWN, 0.0, None, False))
                 continue
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             x = self.rows[at].sum(axis=0) + self.model.prior
             best = int(x.argmax())
             out.append((self.model.langs[best], float(1 / np.exp(x - x[best]).sum()), *self.gain(at, best)))
         return out
 
 
-def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int = 1500, rounds: int = 3, gauge: bool = False) -> Model:
+def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int = 1500, rounds: int = 3, gauge: bool = False, max_langs: int = 256, parts: int = 32) -> Model:
     """docs: doc_id, text, lang. Learns from rows where train holds and lang is not null.
 
     The sample takes each language's rows whose hash lies under docs_per_lang over their count,
-    so it needs no shuffle of texts; a language with fewer rows gives all. The medians of a gauge
-    are those of another sample, of a fifth as many.
+    so it needs no shuffle of texts; a language with fewer rows gives all. Of more labels than
+    max_langs the most frequent are learned. The medians of a gauge are those of another sample,
+    of a fifth as many. parts: tasks of a round.
     """
     spark = docs.sparkSession
     rows = docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     langs = sorted(counts)
     pieces = usable(pieces)
     if not langs:
@@ -225,34 +315,45 @@ def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int =
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(words_of)
 
-    tally = saved(sample.select("lang", F.explode(words("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")))
+    tally = saved(sample.select("lang", F.explode(words("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).repartition(parts, F.xxhash64("lang", "word")))
     v = len(pieces) + 1
     p = np.full((v, len(langs)), 1.0 / v)
     p[-1] = LETTER_FLOOR
+    own_pieces = spark.sparkContext.broadcast(pieces)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((pieces, p))
+        sent = spark.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pieces, p = sent.value
-            lattice = Lattice(pieces)
+            lattice, p = once("lattice", own_pieces, Lattice), sent.value
             total = np.zeros((len(langs), len(p)))
+            held: dict[str, dict[str, int]] = defaultdict(dict)
+
+            def add(lang: str) -> None:
+                words, k = [BEGIN + w for w in held[lang]], langs.index(lang)
+                n = np.array(list(held.pop(lang).values()), float)
+                for _, at in by_length(words).items():
+                    for i in range(0, len(at), 5000):
+                        part = at[i : i + 5000]
+                        total[k] += lattice.expected([words[x] for x in part], n[part], p, k)
+
             for batch in batches:
-                for lang, own in batch.groupby("lang"):
-                    all_words, n = [BEGIN + w for w in own["word"]], own["n"].to_numpy(float)
-                    for _, at in by_length(all_words).items():
-                        for k in range(0, len(at), 5000):
-                            part = at[k : k + 5000]
-                            total[langs.index(lang)] += lattice.expected([all_words[i] for i in part], n[part], p, langs.index(lang))
+                for lang, word, n in batch.itertuples(index=False):
+                    held[lang][word] = n
+                for lang in [x for x, own in held.items() if len(own) > 20_000]:
+                    add(lang)
+            for lang in list(held):
+                add(lang)
             lang, piece = np.nonzero(total)
             yield pd.DataFrame({"lang": lang, "piece": piece, "uses": total[lang, piece]})
 
         uses = tally.mapInPandas(expect, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
         c = np.zeros((v, len(langs)))  # at most vocabulary times languages rows
-        for r in uses.collect():
-            c[r["piece"], r["lang"]] = r["uses"]
+        got = uses.toPandas()
+        c[got["piece"], got["lang"]] = got["uses"]
         c[-1] = 0
         p = (c + 0.05) / (c + 0.05).sum(axis=0)
         p[-1] = LETTER_FLOOR
+        sent.unpersist()
     all_ = sum(counts.values())
     model = Model(langs, pieces, p, np.log([counts[k] / all_ for k in langs]))
     if gauge:
@@ -262,6 +363,7 @@ def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int =
         mid = {r["lang"]: r["mid"] for r in identify(sampled(docs_per_lang / 5, 23), model).groupBy("lang").agg(F.percentile_approx("gain", 0.5).alias("mid")).collect()}
         # a language without letters in its sample has no median and rejects nothing
         model.least = np.array([-np.inf if mid.get(k) is None else min(0.0, mid[k] - BELOW_MEDIAN) for k in langs])
+    forget(tally)
     return model
 
 
@@ -271,11 +373,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, gain double, likely boolean")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value)
+        scorer = once("langid", sent, Scorer)
         for batch in texts:
             rows = []
             for i in range(0, len(batch), 256):
                 rows += scorer.score(batch.iloc[i : i + 256].tolist())
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "gain", "likely"]).astype({"gain": "float64", "likely": "boolean"})
 
-    return docs.withColumn("_said", scored("text")).select("*", "_said.*").drop("_said")
+    own = without(docs, "lang_pred", "score", "gain", "likely")
+    return own.select(packed(own).alias("row"), scored("text").alias("said")).select("row.*", "said.*")

@@ -7,10 +7,14 @@ with how alike words in a row are and how long the mean is. A two-layer network
 the labels on a sample of bounded size, and a temperature, fitted on a part of it that was held
 back, makes its outputs probabilities.
 
-Words are runs of letters, of digits or of other signs, by a hash into `buckets` rows.
+Words are runs of letters, of digits or of other signs, by a hash into `buckets` rows: words that
+share a row share a vector, more of them the more words a corpus has. README gives the measured
+effect; the number of rows, hence what a worker holds, is a parameter and does not grow.
 
 Defined results: a null or empty text has the mean of nothing, zeros, and is scored like any
-other; without labels of both kinds every score is the share of label 1, or 0.5 without labels.
+other; without labels of both kinds every score is the share of label 1, or 0.5 without labels;
+a label repeated counts once, a document with both labels as one of each; columns of docs named
+like a result give way to it; repeated rows stay rows.
 """
 
 from __future__ import annotations
@@ -25,15 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once, packed, without
+
 _words = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
-BLOCK = 128  # rows of the context matrix that travel together
 
 
 @dataclass(frozen=True)
 class Space:
     """Buckets, dimensions and the index vectors: two places of sign +1 or -1 each."""
 
-    buckets: int = 8192
+    buckets: int = 65_536
     dims: int = 64
     seed: int = 3
 
@@ -62,7 +67,12 @@ def _ids(text: str | None, buckets: _Buckets) -> np.ndarray:
 
 
 def contexts(docs: DataFrame, space: Space) -> np.ndarray:
-    """The context vectors of all buckets, from every document; the driver gets buckets x dims sums."""
+    """The context vectors of all buckets, from every document; the driver gets buckets x dims sums.
+
+    A task gives one row for each bucket it met; Spark adds them up, map side first, so that no
+    task holds more than its own buckets' sums however many tasks there are.
+    """
+    names = [f"d{i}" for i in range(space.dims)]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, sign = space.index()
@@ -70,10 +80,12 @@ def contexts(docs: DataFrame, space: Space) -> np.ndarray:
         total = np.zeros(space.buckets * space.dims)
 
         def add(left: np.ndarray, right: np.ndarray) -> None:
+            # counts of each pair first: words and their neighbours repeat, and a pair's vectors are added once
+            pair, n = np.unique(left * space.buckets + right, return_counts=True)
+            left, right = pair // space.buckets, pair % space.buckets
             for k in range(2):
                 for x, y in ((left, right), (right, left)):
-                    nonlocal total
-                    total += np.bincount(x * space.dims + place[k, y], weights=sign[k, y], minlength=len(total))
+                    np.add.at(total, x * space.dims + place[k, y], sign[k, y] * n)
 
         for batch in batches:
             held, n = [], 0
@@ -87,17 +99,17 @@ def contexts(docs: DataFrame, space: Space) -> np.ndarray:
                     held, n = [], 0
             if held:
                 add(np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held]))
-        rows = total.reshape(-1, BLOCK * space.dims)
-        yield pd.DataFrame({"block": np.arange(len(rows)), "sums": [x.tobytes() for x in rows]})
-
-    def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in rows["sums"])
-        return pd.DataFrame({"block": [key[0]], "sums": [total.tobytes()]})
-
-    parts = docs.select("text").mapInPandas(partial, "block int, sums binary").groupBy("block").applyInPandas(summed, "block int, sums binary")
+        rows = total.reshape(-1, space.dims)
+        used = np.flatnonzero(rows.any(axis=1))
+        for i in range(0, len(used), 4096):
+            at = used[i : i + 4096]
+            yield pd.DataFrame(rows[at], columns=names).assign(bucket=at)
+
+    schema = ", ".join(f"{c} double" for c in names) + ", bucket long"
+    sums = docs.select("text").mapInPandas(partial, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    got = sums.toPandas()  # at most a row a bucket
     out = np.zeros((space.buckets, space.dims))
-    for block, sums in parts.toLocalIterator():
-        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(sums).reshape(-1, space.dims)
+    out[got["bucket"]] = got[names]
     return out
 
 
@@ -183,16 +195,6 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 48, epochs: int = 60, rate
     return net
 
 
-def _featured(sent, space: Space):
-    @F.pandas_udf("binary")
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _Buckets(space.buckets)
-        for batch in texts:
-            yield pd.Series([pooled(_ids(t, own), sent.value).tobytes() for t in batch], dtype=object)
-
-    return features
-
-
 def score(docs: DataFrame, labels: DataFrame, train_on: Column, space: Space | None = None, max_train: int = 20_000, cut: float = 0.3) -> DataFrame:
     """docs plus score and predicted. docs: doc_id, text; labels: doc_id, quality, of which those where train_on holds teach.
 
@@ -200,24 +202,34 @@ def score(docs: DataFrame, labels: DataFrame, train_on: Column, space: Space | N
     """
     spark = docs.sparkSession
     space = space or Space()
-    known = labels.filter(train_on & F.col("quality").isin(0, 1)).select(F.col("doc_id"), F.col("quality"))
+    known = labels.filter(train_on & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     n = known.count()
     sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < min(1.0, max_train / max(1, n)) * 1_000_000)
     sent = spark.sparkContext.broadcast(word_vectors(contexts(docs, space), space))
-    features = _featured(sent, space)
+    width = 2 * space.dims + 7
+
+    @F.pandas_udf("binary")
+    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = once("quality buckets", sent, lambda _: _Buckets(space.buckets))
+        for batch in texts:
+            yield pd.Series([pooled(_ids(t, own), sent.value).tobytes() for t in batch], dtype=object)
+
     # a sample of bounded size: its rows are small enough to go to every worker
-    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", features("text").alias("x"))
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", features("text").alias("x"))
+    # one row a label, however often a document is repeated
+    taught = met.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
     # at most about max_train rows: put in an order of their own here, as a sort in Spark would make the features twice
-    rows = taught.toPandas().sort_values(["x", "quality"], ignore_index=True)
-    width = 2 * space.dims + 7
+    rows = taught.select("quality", "x").toPandas().sort_values(["x", "quality"], ignore_index=True)
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, width).astype(float)
     net = spark.sparkContext.broadcast(train(x, rows["quality"].to_numpy(float)))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _Buckets(space.buckets)
+        own = once("quality buckets", sent, lambda _: _Buckets(space.buckets))
         for batch in batches:
             x = np.array([pooled(_ids(t, own), sent.value) for t in batch]).reshape(-1, width)
             yield pd.Series(net.value.scores(x.astype(float)))
 
-    return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    kept = without(docs, "score", "predicted")
+    done = kept.select(packed(kept).alias("row"), scored("text").alias("score"))
+    return done.select("row.*", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
