@@ -109,6 +109,14 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def repeated(rows: DataFrame, times: str, step: int = 1 << 16) -> DataFrame:
+    """rows, each as often as its column times says, with _copy from 0; no array is longer than step."""
+    n = F.col(times).cast("long")
+    lots = rows.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step))))
+    last = F.least(n - F.col("_lot") * step, F.lit(step)) - 1
+    return lots.withColumn("_in", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("_copy", F.col("_in") + F.col("_lot") * step).drop("_lot", "_in")
+
+
 _kept: dict[str, tuple[Broadcast, Any]] = {}
 
 

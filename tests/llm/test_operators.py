@@ -122,8 +122,7 @@ def test_tokens(docs, empty):
         t = "".join(rnd.choices(signs, k=rnd.randint(1, 12)))
         assert own.count(t) == want(t), t
         k = rnd.randint(1, 5)
-        n, joint = tokens.joints([dict(zip(("head", "n", "tail", "agrees"), own.cut(t[i : i + k]), strict=True)) for i in range(0, len(t), k)])
-        assert n + sum(map(own.count, joint)) == want(t), t
+        assert tokens.compose([own.mapped(*x[1:]) for x in tokens.chunks(t, k, own.around())]) == ([(0, 0, want(t))] if t else []), t
     rows, df = docs
     for r in tokens.count_tokens(df, source, chunk=100).collect():
         t = dict((x[0], x[1]) for x in rows)[r.doc_id] or ""
@@ -132,6 +131,38 @@ def test_tokens(docs, empty):
     assert tokens.count_tokens(empty, source).count() == 0
 
 
+def test_token_maps_of_long_pieces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, lib = tokens.compiled(open(path).read()), Tokenizer.from_file(path)
+    draw = random.Random(5)
+    long = ["a" * 300, "-" * 250, " " * 300, "the", "x y", "漢字" * 100, "\n" * 200, " ", "=" * 500, "<|endoftext|>", "".join(draw.choices("abcdefgh", k=900))]
+    for _ in range(150):
+        t = "".join(draw.choices(long, k=draw.randint(1, 6)))
+        k = draw.choice([50, 100, 333, 1000])
+        maps = [own.mapped(*x[1:]) for x in tokens.chunks(t, k, own.around())]
+        want = [(0, 0, len(lib.encode(t, add_special_tokens=False).ids))]
+        half = len(maps) // 2
+        assert tokens.compose(maps) == want
+        if half:  # in whatever tree
+            assert tokens.compose([tokens.compose(maps[:half]), tokens.compose(maps[half:])]) == want
+
+
+def test_one_word_over_many_tasks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, draw = Tokenizer.from_file(path), random.Random(6)
+    word = "".join(draw.choices("abcdefghijklmnop", k=120_000))
+    df = spark.createDataFrame([(1, word), (2, "x"), (1, word), (None, word[1:])], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_bytes) for r in tokens.count_tokens(df, open(path).read(), chunk=5000, fan_in=4).collect())
+    n, m = (len(lib.encode(w, add_special_tokens=False).ids) for w in (word, word[1:]))
+    assert got == [(0, m, len(word) - 1), (1, n, len(word)), (1, n, len(word)), (2, 1, 1)]
+
+
 def test_lm(docs, empty):
     rows, df = docs
     train = (df.doc_id % 7) != 2
