@@ -5,11 +5,13 @@ fewer). A shift table over blocks of two words tells how far the search may go o
 ends some pattern, the patterns under the hash of that suffix are compared word by word.
 Patterns of one length share a table, since the shortest pattern bounds every shift.
 
-The patterns go to the workers in parts of bounded size; each part adds an array column to the
-documents' rows, so that a benchmark of any size is searched without a join or shuffle.
+The patterns go to the workers in parts of bounded size, one after the other: a worker and the
+driver hold one part at a time. A benchmark of one part is searched without a join or shuffle; of
+more parts each pass writes what it hit, and the hits of all meet the documents in one join.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
-window; an empty benchmark hits nothing; equal windows of several items count for each.
+window; an empty benchmark hits nothing; equal windows of several items count for each; repeated
+rows stay rows; a column of docs named found gives way to the result.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once, packed, saved, without
+
 #: Fixed by the contract: words of the lower-cased text, here over its UTF-8 bytes.
 PLAIN_WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _words = re.compile(PLAIN_WORD).findall
@@ -109,7 +115,7 @@ def _search(sent: Broadcast):
 
     @F.pandas_udf("n_words long, runs array<struct<a:int,b:int>>, items array<string>")
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        searcher = Searcher(sent.value)
+        searcher = once("patterns", sent, Searcher)
         for batch in texts:
             rows = []
             for text in batch:
@@ -127,17 +133,34 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float =
     docs: text and any other columns. Contaminated: n_hit > 0 and n_hit >= share * n_words.
     """
     spark = docs.sparkSession
-    found = [_search(spark.sparkContext.broadcast(patterns))("text") for patterns in _parts(benchmark, window, part_bytes)]
     least = round(1 / share)
+    docs = without(docs, "found")
 
     @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    def judge(parts: pd.Series) -> pd.DataFrame:
+    def judge(n_words: pd.Series, runs: pd.Series, items: pd.Series) -> pd.DataFrame:
         rows = []
-        for own in parts:
-            runs = [(r["a"], r["b"]) for p in own for r in p["runs"]]
-            items = sorted({i for p in own for i in p["items"]})
-            n, hit = own[0]["n_words"], _covered(runs)
-            rows.append((n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and least * hit >= n))
+        for n, r, own in zip(n_words, runs, items, strict=True):
+            own, hit = sorted(set(own)), _covered([(x["a"], x["b"]) for x in r])
+            rows.append((n, hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), hit > 0 and least * hit >= n))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.withColumn("_parts", F.array(*found)).withColumn("found", judge("_parts")).drop("_parts")
+    parts = _parts(benchmark, window, part_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        one = docs.select(packed(docs).alias("row"), _search(spark.sparkContext.broadcast(first))("text").alias("s"))
+        return one.select("row.*", judge("s.n_words", "s.runs", "s.items").alias("found"))
+    # rows are numbered once, in what is written, so that every pass means the same rows
+    numbered = saved(docs.select(F.monotonically_increasing_id().alias("id"), packed(docs).alias("row")))
+    passes, sizes = [], None
+    for part in chain([first, second], parts):
+        sent = spark.sparkContext.broadcast(part)
+        searched = numbered.select("id", _search(sent)("row.text").alias("s"))
+        if sizes is None:
+            searched = saved(searched)
+            sizes = searched.select("id", "s.n_words")
+        passes.append(saved(searched.filter("size(s.runs) > 0").select("id", "s.runs", "s.items")))
+        sent.unpersist()
+    hits = reduce(DataFrame.unionByName, passes).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    none = F.expr("array()")
+    met = numbered.join(sizes, "id").join(hits, "id", "left").select("row", "n_words", F.coalesce("runs", none.cast("array<struct<a:int,b:int>>")).alias("runs"), F.coalesce("items", none.cast("array<string>")).alias("items"))
+    return met.select("row.*", judge("n_words", "runs", "items").alias("found"))

@@ -6,12 +6,15 @@ method. Two fractional documents meet, words move at random from one to the othe
 holds no or one whole further copy, and the other goes on. The words that a source takes stay
 the same through every meeting, and each document's expected copies too.
 
-Documents meet within cells (source, hash of doc_id) of bounded size; each cell leaves at most
-one fractional document, and these meet in a tree whose nodes join `fan_in` cells, so that a
-source with a third of all rows is spread over as many tasks as any other rows.
+Documents meet within cells (source, hash of doc_id, size and number among equal rows) of bounded
+size; each cell leaves at most one fractional document, and these meet in a tree whose nodes join
+`fan_in` cells, so that a source, or one doc_id, with a third of all rows is spread over as many
+tasks as any other rows. What a cell leaves is settled: the document still fractional is rounded,
+and small documents that the cell had rounded give or take the words in its stead, so that the one
+left is small, and so is the error of the last rounding of a source.
 
 Defined results: a null text has size 0; a document of size 0 takes 0; repeated rows are
-documents of their own; an empty table gives no rows.
+documents of their own, however often they are repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, saved
+from .common import WORD, forget, repeated, saved
 
 
 def ranked(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -84,17 +87,49 @@ def pivot(size: np.ndarray, part: np.ndarray, draw: np.random.Generator) -> np.n
     return part
 
 
+def settle(size: np.ndarray, part: np.ndarray, free: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """part with its fractional document made as small as can be, the words sum(size * part) kept.
+
+    free: the documents that were fractional. The one left is rounded at random; what that adds or
+    takes is made good by free documents rounded the other way, large ones first, and the rest by
+    the smallest that can hold it, which is the fractional one then.
+    """
+    part = part.copy()
+    left = np.flatnonzero((part > 0) & (part < 1))
+    if not len(left):
+        return part
+    i = int(left[0])
+    up = draw.random() < part[i]
+    words = (1 - part[i] if up else part[i]) * size[i]  # to be taken from the others, or given to them
+    others = np.flatnonzero(free & (part == (1 if up else 0)) & (np.arange(len(part)) != i))
+    part[i] = 1.0 if up else 0.0
+    others = others[np.lexsort((draw.random(len(others)), -size[others]))]
+    kept = -1
+    for j in others:
+        if size[j] <= words:
+            part[j] = 1 - part[j]
+            words -= size[j]
+        else:
+            kept = j
+    if words > 1e-9:
+        at = kept if kept >= 0 else i
+        part[at] += (-words if up else words) / size[at]
+    return part
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, share: float = 1.0, seed: int = 0, cell_rows: int = 4096, fan_in: int = 64) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken. docs: doc_id, source, text."""
-    sizes = saved(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # equal rows are one row with a number, then rows of their own again, each with its place among them
+    sizes = saved(repeated(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")), "times").drop("times"))
     goal = saved(targets(sizes, weights, cap, share))
     top = goal.agg(F.max("docs")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     whole = F.floor(F.col("rate") + 1e-9)
     rest = F.col("rate") - F.col("whole")
-    joined = sizes.alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).select("doc_id", "d.source", "size", "source_size", "target", "docs", rate.alias("rate"))
+    joined = sizes.alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).select("doc_id", "d.source", "size", "_copy", "source_size", "target", "docs", rate.alias("rate"))
     joined = joined.withColumn("whole", whole).withColumn("part", F.when((rest < 1e-9) | (F.col("size") == 0), 0.0).otherwise(rest))
-    joined = joined.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("docs") / cell_rows)))
+    joined = joined.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "_copy", F.lit(seed)), F.ceil(F.col("docs") / cell_rows)))
     fields = "doc_id {}, source string, size long, source_size long, target double, whole long, part double, cell long".format(dict(sizes.dtypes)["doc_id"])
     names = [x.split()[0] for x in fields.split(", ")]
 
@@ -102,7 +137,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
         def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
             name = zlib.crc32(b"" if key[0] is None else str(key[0]).encode())
-            part = pivot(rows["size"].to_numpy(float), rows["part"].to_numpy(), np.random.default_rng([seed, level, name, int(key[1])]))
+            size, given = rows["size"].to_numpy(float), rows["part"].to_numpy()
+            draw = np.random.default_rng([seed, level, name, int(key[1])])
+            part = settle(size, pivot(size, given, draw), (given > 0) & (given < 1), draw)
             if level == depth:
                 draw = np.random.default_rng([seed, level + 1, name])
                 part = np.where((part > 0) & (part < 1), (draw.random() < part) * 1.0, part)

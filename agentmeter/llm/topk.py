@@ -52,42 +52,57 @@ def exact(q: np.ndarray, c: np.ndarray) -> bool:
     return len(q) * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2**52
 
 
+def _whole(q: np.ndarray, c: np.ndarray) -> list[int]:
+    """Inner products in whole numbers of any size, cut to 64 bits: of a query and the columns of c."""
+    own = [int(x) for x in q]
+    return [max(-_LONG - 1, min(_LONG, sum(a * int(b) for a, b in zip(own, col, strict=True)))) for col in c.T]
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, step: int = 16) -> Iterator[tuple[int, int, int]]:
-    """The candidates (columns of c, ids ascending) among which each query's k best are, but for its own id."""
+    """The candidates (columns of c, ids ascending) among which each query's k best are, but for its own id.
+
+    Where doubles cannot hold the sums, they are bounds still, widened by their error, over values
+    scaled to 1 at most; what survives is counted in whole numbers.
+    """
     d = max(len(q), len(c))
     q, c = (np.pad(x, ((0, d - len(x)), (0, 0))) for x in (q, c))
-    if not exact(q, c):
-        whole = [[int(x) for x in col] for col in c.T]
-        for i in range(q.shape[1]):
-            own = [int(x) for x in q[:, i]]
-            scores = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), int(n)) for v, n in zip(whole, c_ids, strict=True) if n != q_ids[i])
-            yield from ((int(q_ids[i]), n, max(-_LONG - 1, min(_LONG, -s))) for s, n in scores[:k])
-        return
+    sure = exact(q, c)
+    whole_q, whole_c = q, c
+    top_long = np.inf
+    if not sure:
+        by_q, by_c = (max(1.0, float(np.abs(x).max(initial=0))) for x in (q, c))
+        q, c, top_long = q / by_q, c / by_c, 2.0**63 / by_q / by_c * (1 - 1e-9)  # from there on scores are cut and tie
     order = np.argsort(-(c**2).sum(axis=1), kind="stable")
     q, c = q[order], c[order]
     ends = [*range(step, d, step), d] if d else []
     # remaining lengths after each block of dimensions
     rest = lambda x, e: np.sqrt((x[e:] ** 2).sum(axis=0))
     c_rest, q_rest = {e: rest(c, e) for e in ends}, {e: rest(q, e) for e in ends}
+    error = 0.0 if sure else 4 * d * 2.0**-52 * d  # of a sum of d products of values of 1 at most
     first = q[: ends[0]].T @ c[: ends[0]] if ends else np.zeros((q.shape[1], c.shape[1]))
     for i in range(q.shape[1]):
         alive = np.flatnonzero(c_ids != q_ids[i])
         part, at = first[i, alive], ends[0] if ends else 0
-        # the best so far in full give a floor of the block's own
+        # the best so far in full give a floor of the block's own; one from other blocks is in their scale
+        low = floor[i] if sure else -np.inf
         if len(alive) > k:
             top = alive[np.argpartition(-part, k - 1)[:k]]
-            low = max(floor[i], (q[:, i] @ c[:, top]).min())
-        else:
-            low = floor[i]
+            low = max(low, (q[:, i] @ c[:, top]).min() - error)
+            low = min(low, top_long - error)
         for e in ends[1:]:
-            keep = part + q_rest[at][i] * c_rest[at][alive] * (1 + 1e-9) + 1e-6 >= low
+            keep = part + q_rest[at][i] * c_rest[at][alive] * (1 + 1e-9) + (1e-6 if sure else error) >= low
             alive, part = alive[keep], part[keep]
             part = part + q[at:e, i] @ c[at:e, alive]
             at = e
-        best = np.lexsort((c_ids[alive], -part))[:k]
-        for j in best:
-            if part[j] >= floor[i]:
-                yield int(q_ids[i]), int(c_ids[alive[j]]), int(part[j])
+        if sure:
+            scores = part
+        else:
+            near = part + error >= low
+            alive = alive[near]
+            scores = np.array(_whole(whole_q[:, i], whole_c[:, alive]), dtype=object)
+        for j in sorted(range(len(alive)), key=lambda x: (-scores[x], c_ids[alive[x]]))[:k] if not sure else np.lexsort((c_ids[alive], -scores))[:k]:
+            if scores[j] >= floor[i]:
+                yield int(q_ids[i]), int(c_ids[alive[j]]), int(scores[j])
 
 
 def nearest(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int = 4096) -> DataFrame:

@@ -12,7 +12,8 @@ rule's path. The keys of a url are its host's endings times its path's beginning
 labels and characters as some rule has; the universe holds those of all pages.
 
 Defined results: a null url or one without :// has empty host and path and fits no rule; a url
-that fits none gets the default verdict.
+that fits none gets the default verdict; repeated rows stay rows; columns of pages named host, path,
+rule or verdict give way to the result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import forget, packed, saved, without
+
 SEP = "\x00"
 
 
@@ -116,9 +119,10 @@ class Cascade:
 def with_host_and_path(pages: DataFrame) -> DataFrame:
     """pages with host and path, as the contract splits urls."""
     rest = F.when(F.locate("://", "url") > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise("")
-    host = F.translate(F.regexp_extract("_rest", r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)
-    return pages.withColumn("_rest", rest).withColumn("host", host).withColumn("path", path).drop("_rest")
+    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    pages = without(pages, "host", "path", "rule", "verdict")
+    return pages.select("*", host.alias("host"), path.alias("path"))
 
 
 def keys_of(host: str, path: str, labels: Sequence[int], lengths: Sequence[int]) -> list[str]:
@@ -140,10 +144,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Da
 
     split = with_host_and_path(pages)
     universe = split.select("host", "path").distinct().select(F.explode(keys("host", "path")).alias("key")).distinct()
+    universe = saved(universe)  # every level of every verdict reads it
     cascades = {}
     for verdict in sorted({r.verdict for r in rules}):
         listed = spark.createDataFrame([(r.host + SEP + r.path,) for r in rules if r.verdict == verdict], "key string")
         cascades[verdict] = Cascade.build(listed, universe)
+    forget(universe)
     sent = spark.sparkContext.broadcast(cascades)
 
     @F.pandas_udf("rule string, verdict string")
@@ -164,4 +170,4 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Da
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["rule", "verdict"])
 
-    return split.withColumn("_judged", probe("host", "path")).withColumn("rule", F.col("_judged.rule")).withColumn("verdict", F.col("_judged.verdict")).drop("_judged")
+    return split.select(packed(split).alias("row"), probe("host", "path").alias("judged")).select("row.*", "judged.*")
