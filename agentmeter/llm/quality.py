@@ -38,7 +38,7 @@ _words = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 class Space:
     """Buckets, dimensions and the index vectors: two places of sign +1 or -1 each."""
 
-    buckets: int = 65_536
+    buckets: int = 32_768
     dims: int = 64
     seed: int = 3
 
