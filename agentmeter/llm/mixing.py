@@ -92,16 +92,21 @@ def settle(size: np.ndarray, part: np.ndarray, free: np.ndarray, draw: np.random
 
     free: the documents that were fractional. The one left is rounded at random; what that adds or
     takes is made good by free documents rounded the other way, large ones first, and the rest by
-    the smallest that can hold it, which is the fractional one then.
+    the smallest that can hold it, which is the fractional one then. Where the others are too small
+    for one of its two ways it goes the way that they come nearer to.
     """
     part = part.copy()
     left = np.flatnonzero((part > 0) & (part < 1))
     if not len(left):
         return part
     i = int(left[0])
-    up = draw.random() < part[i]
+    full, none = (np.flatnonzero(free & (part == x) & (np.arange(len(part)) != i)) for x in (1, 0))
+    short_up, short_down = max(0.0, (1 - part[i]) * size[i] - size[full].sum()), max(0.0, part[i] * size[i] - size[none].sum())
+    up = bool(draw.random() < part[i])
+    if short_up != short_down:
+        up = short_up < short_down
     words = (1 - part[i] if up else part[i]) * size[i]  # to be taken from the others, or given to them
-    others = np.flatnonzero(free & (part == (1 if up else 0)) & (np.arange(len(part)) != i))
+    others = full if up else none
     part[i] = 1.0 if up else 0.0
     others = others[np.lexsort((draw.random(len(others)), -size[others]))]
     kept = -1
@@ -141,8 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
             draw = np.random.default_rng([seed, level, name, int(key[1])])
             part = settle(size, pivot(size, given, draw), (given > 0) & (given < 1), draw)
             if level == depth:
-                draw = np.random.default_rng([seed, level + 1, name])
-                part = np.where((part > 0) & (part < 1), (draw.random() < part) * 1.0, part)
+                part = np.where((part > 0) & (part < 1), (part >= 0.5) * 1.0, part)  # a source's last: to the nearer
             return rows.assign(part=part)[names]
 
         return cell

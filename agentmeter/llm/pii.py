@@ -1,15 +1,19 @@
 r"""Personal data by bootstrapped contextual extraction.
 
-Fixed rules find the base spans (the seeds). The words around every seed, and around every other
-string of a like form, are lexical patterns; Spark keeps the graph of patterns and instances and
-scores it in turns: a pattern by the share of its distinct instances that are held for true, an
-instance by the patterns that point to it. Patterns that end with a high score and enough
-distinct seeds mark the unseen strings they surround as personal data of their seeds' kind.
-
-Pattern counts are over distinct instances, so that copies of a document are no evidence.
-
-Defined results: a null text is empty and has no spans; spans of one kind never overlap, and a
-discovered span overlaps no base span; repeated rows each get the same spans.
+Fixed rules find the base spans (the seeds). The words around every seed are lexical patterns, each
+with a slot where the seed stood. What stands in such a slot anywhere in the corpus is an instance
+of the pattern, of whatever form: a word that holds a digit, an @ or a sign inside, or a run of
+numbers (words of letters alone name nobody for sure and are no instances). Spark keeps the graph of patterns and
+instances and scores it in turns: a pattern by the share of its distinct instances that are held
+for true, an instance by the patterns that point to it. Patterns that end with a high score and
+enough distinct seeds mark the unseen strings in their slots as personal data of their seeds' kind.
+
+Pattern counts are over distinct instances, so that copies of a document are no evidence. Words of
+patterns are whole; one of more than LONG signs is named by its hash.
+
+Defined results: a null text is empty and has no spans; a discovered span overlaps no base span;
+repeated rows each get the same spans; numbers side by side are one instance; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed, saved
 
 #: Fixed by the contract: the kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,9 +38,14 @@ _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++").finditer
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _digits = re.compile(r"[0-9]")
-# strings of a like form: numbers with separators, and words with a sign for "at"
-_number = re.compile(r"(?<![0-9A-Za-z])\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])").finditer
-_at = re.compile(r"[A-Za-z0-9._%+-]{1,64}[(\[]?(?:@|\bat\b)[)\]]?[A-Za-z0-9.-]{3,255}").finditer
+_plain = re.compile(r"\W").sub
+# what makes a word more than letters: a digit, an @, or a sign inside
+_mark = re.compile(r"[0-9@]|\w[._:/+()\[\]=#~]+\w").finditer
+_space = re.compile(r"\s").search
+_letter = re.compile(r"[^\W\d_]").search
+LONG = 64
+#: Signs that do not belong to the string they stand before or after.
+LEADING, TRAILING = "\"'<[{", ".,;:!?>]}\"'"
 
 
 def luhn(digits: str) -> bool:
@@ -79,11 +89,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def named(word: str) -> str:
+    """A word itself, a long one by its hash."""
+    return word if len(word) <= LONG else "#" + xxhash.xxh3_64_hexdigest(word)
+
+
+def before(text: str, a: int) -> list[str]:
+    """The two words before a place, or as many as there are; part of a word where the place is inside it."""
+    out: list[str] = []
+    while len(out) < 2:
+        while a > 0 and text[a - 1].isspace():
+            a -= 1
+        if a == 0:
+            break
+        end = a
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+        out.insert(0, text[a:end])
+    return out
+
+
+def after(text: str, b: int) -> list[str]:
+    while b < len(text) and text[b].isspace():
+        b += 1
+    end = _space(text, b)
+    word = text[b : end.start() if end else len(text)]
+    return [word] if word else []
+
+
 def context(text: str, a: int, b: int) -> list[str]:
     """The lexical patterns around a string: two words before, and one on each side."""
-    mask = lambda w: re.sub("[0-9]", "0", w.lower())[:24]
-    left = [mask(w) for w in text[max(0, a - 80) : a].split()[-2:]]
-    right = [mask(w) for w in text[b : b + 40].split()[:1]]
+    mask = lambda w: re.sub("[0-9]", "0", named(w.lower()))
+    left, right = list(map(mask, before(text, a))), list(map(mask, after(text, b)))
     out = []
     if len(left) == 2:
         out.append(" ".join(left) + " _")
@@ -92,18 +129,32 @@ def context(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Strings of a like form that overlap no base span, with the kinds they may be."""
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Where something stands that a slot may hold, clear of the spans taken: a word with a mark; numbers with one space between are one."""
+    runs: list[list[int]] = []
+    end = 0
+    for m in _mark(text):
+        a = m.start()
+        if a < end:
+            continue
+        while a > end and not text[a - 1].isspace():
+            a -= 1
+        stop = _space(text, m.end())
+        first, end = end, stop.start() if stop else len(text)
+        clear = all(end <= x or y <= a for _, x, y in taken)
+        beside = clear and runs and runs[-1][1] == first and a == first + 1 and text[first] == " " and text[first - 1] not in TRAILING
+        if beside and not _letter(text, *runs[-1]) and not _letter(text, a, end):
+            runs[-1][1] = end
+        elif clear:
+            runs.append([a, end])
     out = []
-    if not _digits.search(text) and "@" not in text:
-        return out
-    free = lambda a, b: all(b <= x or y <= a for _, x, y in taken)
-    for m in _number(text):
-        if free(*m.span()):
-            n = sum("0" <= c <= "9" for c in m.group())
-            out += [(k, *m.span()) for k, few, many in (("phone", 7, 15), ("card", 13, 19)) if few <= n <= many]
-    if "@" in text:
-        out += [("email", *m.span()) for m in _at(text) if free(*m.span())]
+    for a, b in runs:
+        while a < b and text[a] in LEADING:
+            a += 1
+        while a < b and text[b - 1] in TRAILING:
+            b -= 1
+        if a < b:
+            out.append((a, b))
     return out
 
 
@@ -118,8 +169,8 @@ def _scan():
             for text in batch:
                 text = text or ""
                 base = base_spans(text)
-                both = [(*s, True) for s in base] + [(*s, False) for s in candidates(text, base)]
-                rows.append((base, [(k, a, b, seed, re.sub(r"\W", "", text[a:b]).lower(), context(text, a, b)) for k, a, b, seed in both]))
+                both = [(*s, True) for s in base] + [(None, *s, False) for s in candidates(text, base)]
+                rows.append((base, [(k, a, b, seed, named(_plain("", text[a:b]).lower()), context(text, a, b)) for k, a, b, seed in both]))
             yield pd.DataFrame(rows, columns=["base", "mentions"])
 
     return scan
@@ -136,10 +187,13 @@ def text_id() -> Column:
 
 def patterns(scan: DataFrame, rounds: int = 3, doubt: float = 2.0) -> DataFrame:
     """kind, pattern, score, seeds after the turns; score is the trusted share of its instances."""
-    seen = scan.select(F.explode("mentions").alias("m")).select("m.*").select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
-    edges = saved(seen.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")))
-    # a pattern without a seed stays at nothing: leave it out
-    rooted = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds")).filter("seeds > 0")
+    seen = scan.select(F.explode("mentions").alias("m")).select("m.*").select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).distinct()
+    seeds = saved(seen.filter("seed").select("kind", "pattern", "instance"))
+    # a pattern without a seed stays at nothing: what stands in its slot is left out
+    rooted = saved(seeds.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")))
+    unseen = seen.filter("not seed").select("pattern", "instance").join(rooted.select("kind", "pattern"), "pattern").select("kind", "pattern", "instance")
+    both = seeds.withColumn("seed", F.lit(True)).unionByName(unseen.withColumn("seed", F.lit(False)))
+    edges = both.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = saved(edges.join(rooted, ["kind", "pattern"]))
     trust = edges.withColumn("trust", F.col("seed").cast("double"))
     for i in range(rounds):
@@ -156,8 +210,8 @@ def patterns(scan: DataFrame, rounds: int = 3, doubt: float = 2.0) -> DataFrame:
 def discovered(scan: DataFrame, least_score: float = 0.7, least_seeds: int = 5, rounds: int = 3) -> DataFrame:
     """doc_id, text_id, found: the unseen strings that high-confidence patterns surround."""
     good = patterns(scan, rounds).filter((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds)).select("kind", "pattern", "score")
-    unseen = scan.select("doc_id", "text_id", F.explode("mentions").alias("m")).select("doc_id", "text_id", "m.*").filter("not seed")
-    hits = unseen.withColumn("pattern", F.explode("patterns")).join(good, ["kind", "pattern"])
+    unseen = scan.select("doc_id", "text_id", F.explode("mentions").alias("m")).filter("not m.seed").select("doc_id", "text_id", "m.start", "m.stop", F.explode("m.patterns").alias("pattern"))
+    hits = unseen.join(good, "pattern")
     # of a string's kinds the best; a string is found once
     one = hits.groupBy("doc_id", "text_id", "start", "stop").agg(F.max(F.struct("score", "kind")).alias("best"))
     return one.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "stop"))).alias("found"))
@@ -169,10 +223,17 @@ def listed(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in rows)
 
 
+def _few(more: DataFrame, most: int = 200_000) -> DataFrame:
+    """more, written, and sent to all workers if its strings are few; else it meets the documents in a shuffle."""
+    more = saved(more)
+    n = more.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    return F.broadcast(more) if n <= most else more
+
+
 def find(docs: DataFrame, **bounds) -> DataFrame:
     """Per document: doc_id, n_<kind> and base_sha256 of the base spans, spans of all. docs: doc_id, text."""
     scan = scanned(docs)
-    more = discovered(scan, **bounds)
+    more = _few(discovered(scan, **bounds))
 
     @F.pandas_udf("base_sha256 string, spans string")
     def written(base: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -190,7 +251,7 @@ def find(docs: DataFrame, **bounds) -> DataFrame:
 def redacted(docs: DataFrame, **bounds) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets; n_chars follows if there."""
     scan = scanned(docs)
-    more = discovered(scan, **bounds).withColumnsRenamed({"doc_id": "_d", "text_id": "_t"})
+    more = _few(discovered(scan, **bounds)).withColumnsRenamed({"doc_id": "d", "text_id": "t"})
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -208,8 +269,8 @@ def redacted(docs: DataFrame, **bounds) -> DataFrame:
             out.append("".join([*parts, text[end:]]))
         return pd.Series(out, dtype=object)
 
-    names = docs.columns
-    joined = docs.withColumn("_own", text_id()).join(more, F.expr("doc_id <=> _d and _own = _t"), "left").withColumn("text", masked("text", "found"))
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(*names)
+    rows = docs.select(packed(docs).alias("row"), text_id().alias("own"))
+    met = rows.join(more, F.expr("row.doc_id <=> d and own = t"), "left").select("row", masked("row.text", "found").alias("clean"))
+    own = lambda c: F.col("row")[c]
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return met.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])

@@ -333,3 +333,185 @@ def test_pipeline(spark, docs, empty, tmp_path):
 
 def test_folds():
     assert zlib.crc32(b"7") % 5 in range(5)
+
+
+def test_pii_finds_unseen_forms_of_all_kinds(spark):
+    """Each kind is announced by its own words; what stands there in a form no rule knows is found."""
+    say = {"email": ("write to", "a{0}.b@mail{0}.example.org"), "ip": ("host at", "10.0.{0}.7"), "card": ("paid by", "4111 1111 1111 1111"), "phone": ("call me", "+1 (5{0:02d}) 555-0{0:03d}")}
+    cards = [n for n in range(4_000_000_000_000_000, 4_000_000_000_000_400) if pii.luhn(str(n))][:30]
+    rows = []
+    for i in range(30):
+        for words, form in say.values():
+            seed = str(cards[i]) if words == "paid by" else form.format(i)
+            rows.append((len(rows), f"{text(3)} {words} {seed} {text(2)}"))
+    new = {"email": "jo(at)some.place", "ip": "fe80::12:9", "card": "41-11-xx-99", "phone": "0171/5550199"}
+    odd = {1000 + i: (k, f"äö {say[k][0]} {x} bye") for i, (k, x) in enumerate(new.items())}
+    rows += [(i, t) for i, (_, t) in odd.items()] + [(2000, "host at home, call me later 12"), (2001, None), (2002, ""), (None, odd[1001][1])]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (k, t) in odd.items():
+        at = t.index(new[k])
+        assert got[i].spans == f"{k}:{at}:{at + len(new[k])}", (k, got[i].spans)
+    assert got[None].spans == got[1001].spans and got[2000].spans == got[2001].spans == got[2002].spans == ""
+
+
+def test_pii_base_is_the_contract(spark, docs):
+    """Base spans, counts and digest against the contract's patterns read word for word."""
+    import hashlib
+    import re
+
+    forms = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            return 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+        return kind == "email" or 9 <= len(d) <= 15
+
+    own = random.Random(11)
+    bits = ["a", "b.c", "@", "x.y", "10", ".", "1", "255", "300", " ", "-", "+1", "(555)", "4111111111111111", "4000000000000002", "é", ",", "2 3", "1.2.3.4", "..", "j@k.lm"]
+    rows = [(i, "".join(own.choices(bits, k=own.randint(1, 25)))) for i in range(400)] + [(400, None), (401, ""), (402, "9" * 5000), (403, "1." * 4000), (404, "a" * 5000 + "@b.c")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        spans = [(k, m.start(), m.end()) for k, f in forms.items() for m in re.finditer(f, t or "") if good(k, m.group())]
+        r = got[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest(), (t, r.spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in pii.KINDS]
+        assert set(",".join(f"{k}:{a}:{b}" for k, a, b in spans).split(",")) <= set(r.spans.split(",")) | {""}
+
+
+def test_settled_residual_is_small():
+    draw = np.random.default_rng(3)
+    size = np.concatenate([[300.0, 150], draw.integers(1, 30, 60)])
+    given = draw.random(len(size))
+    for i in range(50):
+        own = np.random.default_rng(i)
+        part = mixing.settle(size, mixing.pivot(size, given, own), given > 0, own)
+        left = size[(part > 0) & (part < 1)]
+        assert abs(part @ size - given @ size) < 1e-6 and len(left) <= 1 and (left <= 30).all()
+
+
+def test_mixing_takes_what_small_sources_owe(spark):
+    draw = random.Random(4)
+    rows = [(i, "s%d" % (i % 7), " ".join(["w"] * (100 if i < 7 else draw.randint(1, 20)))) for i in range(400)]
+    rows += [(None, "s1", "a b c")] * 50 + [(7, "s2", "x y")] * 300
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), cell_rows=64, fan_in=2).collect()
+    assert len(got) == len(rows)
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 20 and all(r.taken <= 3 * r.size for r in own)
+
+
+CLASH = ("found", "_own", "_parts", "_row", "score", "host", "row", "said", "_d", "part")
+
+
+def test_columns_that_clash(spark, docs):
+    """Extra columns, of names that operators use, neither break nor are broken, but for those named like a result."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rows, df = docs
+    odd = df.filter("doc_id < 40").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASH})
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+
+    def kept(out, *lost):
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in CLASH if c not in lost)
+        return out.columns
+
+    assert kept(neardup.deduplicated(odd)) == odd.columns
+    assert kept(pii.redacted(odd)) == odd.columns
+    kept(decontam.find(odd, bench), "found")
+    kept(decontam.find(odd, bench, part_bytes=1), "found")
+    model = langid.fit(odd, pieces(), odd.doc_id % 4 != 2, rounds=1, docs_per_lang=20)
+    kept(langid.identify(odd, model), "score")
+    kept(urlfilter.judge(odd.withColumn("url", F.lit("http://a.com/")), URL_RULES), "host")
+    kept(quality.score(odd, spark.createDataFrame([(1, 0)], "doc_id long, quality int"), F.lit(True), quality.Space(64, 8)), "score")
+    assert mixing.mix(odd).count() == odd.count()
+    assert kept(corpus_pipeline.language(spark, odd, "")) == odd.columns
+
+
+def test_rows_that_repeat_a_doc_id_with_another_text(spark):
+    a, b = text(60), text(60)
+    rows = [(5, a, "x"), (5, b, "y"), (5, a, "z"), (7, a + " end", "x"), (9, b + " fin", "x"), (None, a, "n"), (6, "", "e"), (6, None, "e"), (6, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted((r.doc_id or 0, r.text or "", r.key) for r in neardup.deduplicated(df).collect())
+    assert [(d, t) for d, t, _ in got] == sorted([(5, a), (5, b), (0, a), (6, "")]) and got == sorted((r.doc_id or 0, r.text or "", r.key) for r in neardup.deduplicated(df.repartition(5)).collect())
+
+
+def test_topk_of_large_values_is_exact(spark):
+    draw = random.Random(8)
+    rows = [(i, [draw.uniform(-1, 1) * 10 ** draw.choice([0, 4, 6]) for _ in range(20)]) for i in range(0, 300)] + [(301, [1e300] * 20), (302, [1e300] * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vec = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    top, got = 2**63 - 1, collections.defaultdict(list)
+    for r in topk.nearest(df, block=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 300, 50):
+        want = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(vec[q], v)))), i) for i, v in vec.items() if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_lm_score_is_its_formula(spark):
+    """With a filter large enough to err never, the score is the formula over quantised counts."""
+    teach = [text(30) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(teach)), "doc_id long, text string")
+    shape, mu = lm.Shape(bits=60), 200.0
+    got = {r.doc_id: r.score for r in lm.score(df, df.doc_id >= 0, shape=shape, mu=mu).collect()}
+    q = lambda c: float(shape.count(shape.level(np.array([c])))[0]) if c else 0.0
+    one, two = collections.Counter(), collections.Counter()
+    for t in teach:
+        w = lm.tokens(t)
+        one.update(w)
+        two.update(zip([lm.START, *w], w))
+    n, v = sum(one.values()), len(one)
+    for i, t in enumerate(teach):
+        w, total = lm.tokens(t), 0.0
+        for h, x in zip([lm.START, *w], w):
+            first = len(teach) if h == lm.START else q(one[h])
+            p = (min(q(two[h, x]), q(one[x]), first) + mu * (q(one[x]) + 1) / (n + v + 1)) / (first + mu)
+            total += math.log10(min(p, 1))
+        assert math.isclose(got[i], total, rel_tol=1e-9)
+
+
+def test_lm_counts_beyond_32_bits():
+    key, n = lm._unpacked(lm._packed(np.array([1, 2], np.uint64), np.array([2**32 + 5, 7])))
+    assert key.tolist() == [1, 2] and n.tolist() == [2**32 + 5, 7]
+
+
+def test_long_words_are_summed_whole():
+    own = ["a", "b", "ab", "aba"]
+    p = np.array([[0.2], [0.1], [0.3], [0.05], [1e-7]])
+    lattice, word = langid.Lattice(own), "ab" * 40 + "c" + "ba" * 30
+    sums = [1.0]
+    for j in range(1, len(word) + 1):
+        total = 0.0
+        for k in range(1, 4):
+            piece = word[max(0, j - k) : j]
+            if len(piece) == k:
+                total += sums[j - k] * (p[own.index(piece), 0] if piece in own else 1e-7 if k == 1 else 0)
+        sums.append(total)
+    assert math.isclose(lattice.long_sum(word, p)[0][0], math.log(sums[-1]))
+    uses = lattice.expected([word], np.array([1.0]), p, 0)
+    assert math.isclose(uses @ [1, 1, 2, 3, 1], len(word))
+
+
+def test_registered_queries_hold_their_contracts(spark):
+    """The queries themselves: columns, folds, one row a document."""
+    from agentmeter.llm import queries as own
+
+    d = "/root/testdata/sf0.001"
+    ids = [r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()]
+    for name, n, part, want in (("op1_quality", 5, 0, "doc_id held_out score predicted"), ("op3_langid", 4, 2, "doc_id held_out lang_pred score"), ("op4_lm", 7, 2, "doc_id held_out n_tokens n_known train_tokens base_score score")):
+        df = own.queries()[name](spark, d)
+        assert df.columns[: len(want.split())] == want.split()
+        got = {r.doc_id: r for r in df.collect()}
+        assert sorted(got) == sorted(ids) and all(r.held_out == (zlib.crc32(str(i).encode()) % n == part) for i, r in got.items())
+        if name != "op4_lm":
+            assert all(0 <= r.score <= 1 for r in got.values())
+        if name == "op1_quality":
+            assert all(r.predicted == int(r.score >= 0.3) for r in got.values())
+        if name == "op3_langid":
+            lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+            assert sum(r.lang_pred == lang[i] for i, r in got.items() if lang[i]) >= 0.97 * len(ids)
