@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rereads import with_cover
 from .series import ORDER, micros
 
 #: Share of the context window from which an alert is chosen, the most urgent first.
@@ -32,15 +33,10 @@ def resident(reads: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(reads: DataFrame) -> DataFrame:
-    """Each read with the lines that the epoch's earlier reads of the path hold already, and their share of its tokens.
-
-    Spans are few a path and epoch; they are folded in the row, sorted, so that overlaps count once.
-    """
-    w = Window.partitionBy("session_id", "epoch", "path").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    r = reads.withColumn("prior", F.array_sort(F.collect_set(F.struct("lo", "hi")).over(w)))
-    fold = "aggregate(prior, named_struct('at', lo - 1L, 'n', 0L), (s, x) -> named_struct('at', greatest(s.at, least(x.hi, hi)), 'n', s.n + greatest(0L, least(x.hi, hi) - greatest(x.lo, s.at + 1L) + 1L))).n"
-    r = r.withColumn("dup_lines", F.expr(fold)).withColumn("tokens", F.expr("cast(greatest(1, floor(bytes / 4 + 0.5)) as bigint)"))
-    return r.select("request_id", "epoch", "dup_lines", F.expr("tokens * dup_lines div (hi - lo + 1)").alias("dup_tokens"))
+    """Each read with the lines that the epoch's earlier reads of the path hold already, and their share of its tokens."""
+    r = with_cover(reads.select("session_id", "epoch", "path", "ts", "request_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), "bytes"), ["session_id", "epoch", "path"])
+    tokens = F.expr("cast(greatest(1, floor(bytes / 4 + 0.5)) as bigint)")
+    return r.withColumn("tokens", tokens).select("request_id", "epoch", F.col("covered").alias("dup_lines"), F.expr("tokens * covered div (hi - lo + 1)").alias("dup_tokens"))
 
 
 def reread_candidate(res: DataFrame, reads: int = 2, tokens: int = 3000) -> DataFrame:

@@ -45,11 +45,16 @@ def by_agent_type(c: DataFrame) -> DataFrame:
 
 
 def cache(c: DataFrame) -> DataFrame:
-    """Hit ratio, and what reading from the cache saved against paying each call's input rate."""
-    saved = F.sum(F.coalesce(F.col("cache_read").cast("decimal(14,0)") * F.col("r_in"), F.lit(0).cast("decimal(24,4)"))).cast("double") / 1e6
+    """Hit ratio; what cached tokens would have cost as input, less what reading them cost; what writing cost; the two against each other."""
+    zero = F.lit(0).cast("decimal(24,4)")
+    uncached = F.sum(F.coalesce(F.col("cache_read").cast("decimal(14,0)") * F.col("r_in"), zero)).cast("double") / 1e6
     read, all_ = F.sum("cache_read"), F.sum("context_tokens")
-    paid = (F.sum("m_read") + F.sum("m_cw5") + F.sum("m_cw1")).cast("double") / 1e6
-    return c.groupBy("session_id").agg((read.cast("double") / F.nullif(all_, F.lit(0))).alias("hit_ratio"), saved.alias("saved_usd"), paid.alias("paid_usd"), (saved - paid).alias("net_usd"))
+    reads, writes = F.sum("m_read").cast("double") / 1e6, (F.sum("m_cw5") + F.sum("m_cw1")).cast("double") / 1e6
+    ratio = F.coalesce(read.cast("double") / F.nullif(all_, F.lit(0)), F.lit(0.0))
+    return c.groupBy("session_id").agg(
+        ratio.alias("hit_ratio"), uncached.alias("uncached_usd"), (uncached - reads).alias("saved_usd"), writes.alias("paid_usd"),
+        reads.alias("read_usd"), (uncached - reads - writes).alias("net_usd"),
+    )
 
 
 def waste(c: DataFrame, t: DataFrame) -> DataFrame:
@@ -78,8 +83,8 @@ def bounds(c: DataFrame) -> DataFrame:
 def daily(c: DataFrame, zone: str = "UTC") -> DataFrame:
     """One pass for all, by day and by model."""
     c = c.withColumn("day", F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)).cast("string"))
-    c.createOrReplaceTempView("_daily")
-    return c.sparkSession.sql("select day, model_key, count(*) as calls, sum(total_tokens) as total_tokens, cast(sum(m_total) as double) / 1e6 as usd_total from _daily group by grouping sets ((), (day), (model_key))")
+    g = c.groupingSets([[], ["day"], ["model_key"]], "day", "model_key")
+    return g.agg(F.count("*").alias("calls"), F.sum("total_tokens").alias("total_tokens"), usd("m_total").alias("usd_total"))
 
 
 def settled(c: DataFrame, headline: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def price(calls: DataFrame) -> DataFrame:
     c = c.withColumns(parts)
     total = sum((F.col(p) for p in list(parts)[1:]), F.col(list(parts)[0]))
     c = c.withColumn("m_total", total.cast("decimal(28,5)"))
-    c = c.withColumn("tier", F.coalesce("tier", F.lit("unknown"))).withColumn("unpriced", (F.col("tier") == "unknown") & ~X.is_synthetic(F.col("model")))
+    c = c.withColumn("tier", F.coalesce("tier", F.when(X.is_synthetic(F.col("model")), "synthetic").otherwise("unknown"))).withColumn("unpriced", F.col("tier") == "unknown")
     c = c.withColumn("context_tokens", F.col("input_tokens") + F.col("cw5_tokens") + F.col("cw1_tokens") + F.col("cache_read"))
     return c.withColumn("total_tokens", F.col("context_tokens") + F.col("output_tokens")).drop("r_out", "r_cw5", "r_cw1", "r_search")
 

@@ -2,39 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kind, severity, pattern, replacement.
-RULES = (
-    ("home", "block", r"/(?:home|Users)/[A-Za-z0-9_]+", "/home/user"),
-    ("email", "block", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}", "<email>"),
-    ("uuid", "block", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
-    ("branch", "block", r"\b(?:feature|fix|chore|hotfix|release|bugfix)/[A-Za-z0-9_.-]+", "<branch>"),
-    ("ipv4", "block", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "<ip>"),
-)
+#: Shapes that must not be published. Words take letters and digits of any script, as upstream.
+EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]{2,}"
+HOME = r"/(?:home|Users)/[\p{L}\p{N}_]+"
+UUID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
+BRANCH = r"(?i)\b(?:feature|fix|chore|main|hotfix|release|bugfix)/[\p{L}\p{N}_.-]+"
+IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
+TICKET = r"(?i)\b[A-Z][A-Z0-9]{1,9}-[0-9]{1,6}\b"
+#: Kind, severity, pattern.
+RULES = (("email", "block", EMAIL), ("home", "block", HOME), ("uuid", "block", UUID), ("branch", "block", BRANCH), ("ipv4", "block", IPV4), ("ticket", "review", TICKET))
+#: What a scrub replaces, in order. A branch of main alone names nobody and stays.
+SCRUB = (
+    (r"/(home|Users)/[A-Za-z0-9._-]+", "/$1/<user>"), (EMAIL, "<email>"), (UUID, "<uuid>"),
+    (r"(?i)\b(?:feature|fix|chore|hotfix|release|bugfix)/[\p{L}\p{N}_.:/-]+", "<branch>"), (IPV4, "<ip>"),
+)
 
 
-def findings(texts: DataFrame) -> DataFrame:
-    """id, kind, severity, sample, n. texts: id, text."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("text", F.lit(f"({p})"), 1).alias("hits")) for k, s, p, _ in RULES])
-    f = texts.select("id", F.explode(found).alias("f")).select("id", "f.kind", "f.severity", F.explode("f.hits").alias("sample"))
-    return f.groupBy("id", "kind", "severity", "sample").agg(F.count("*").alias("n"))
+def findings(texts: DataFrame, needles: DataFrame | None = None) -> DataFrame:
+    """id, kind, severity, sample, n, first: what is found, how often, and where first (from 0). texts: id, text.
+
+    needles: kind, needle: names that must not be published, few and short enough to go to every
+    worker. One of five signs or more is found where no letter or digit stands before it; a
+    shorter one only as a whole word.
+    """
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("text", F.lit(f"({p})"), 1).alias("hits")) for k, s, p in RULES])
+    f = texts.select("id", "text", F.explode(found).alias("f")).select("id", "text", "f.kind", "f.severity", F.explode("f.hits").alias("sample"))
+    if needles is not None:
+        n = needles.select("kind", "needle").distinct()
+        if n.count() > 10_000:
+            raise ValueError("more than 10,000 needles: search them in lots")
+        quoted = F.concat(F.lit("\\Q"), "needle", F.lit("\\E"))
+        form = F.concat(F.lit("(?i)(?<![\\p{L}\\p{N}])("), quoted, F.when(F.length("needle") >= 5, F.lit(")")).otherwise(F.lit(")(?![\\p{L}\\p{N}])")))
+        own = texts.select("id", "text").join(F.broadcast(n.select("kind", form.alias("form"))), F.expr("text rlike form"))
+        f = f.unionByName(own.select("id", "text", "kind", F.lit("block").alias("severity"), F.explode(F.regexp_extract_all("text", F.col("form"), F.lit(1))).alias("sample")))
+    return f.groupBy("id", "kind", "severity", "sample").agg(F.count("*").alias("n"), F.min(F.expr("instr(text, sample) - 1")).cast("bigint").alias("first"))
 
 
 def scrubbed(texts: DataFrame) -> DataFrame:
     """texts with every rule's hits replaced, in the rules' order; doing it twice changes nothing."""
     out = F.col("text")
-    for _, _, pattern, by in RULES:
+    for pattern, by in SCRUB:
         out = F.regexp_replace(out, pattern, by)
     return texts.withColumn("text", out)
 
 
-def publish(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes all tables, or none if a blocking finding is in any string column."""
+def publish(tables: dict[str, DataFrame], path: str, needles: DataFrame | None = None) -> None:
+    """Writes all tables, or none if a blocking finding is in any string column.
+
+    Everything is audited, then written to a folder beside, which becomes the published one by its
+    last step: a failure on the way publishes nothing.
+    """
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         text = F.concat_ws("\n", *[c for c, t in df.dtypes if t == "string"])
-        if not findings(df.select(F.lit(name).alias("id"), text.alias("text"))).filter("severity = 'block'").isEmpty():
+        if not findings(df.select(F.lit(name).alias("id"), text.alias("text")), needles).filter("severity = 'block'").isEmpty():
             raise ValueError(f"{name} holds personal data: nothing is published")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    beside, at = jvm.Path(f"{path}.new"), jvm.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}.new/{name}")
+    files.delete(at, True)
+    if not files.rename(beside, at):
+        raise OSError(f"{path} was not replaced")
+
+
+def allowed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The publishable columns of rows, in the list's order; a column that rows lack is null, one not listed never leaves."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two pseudonym maps (key, ordinal) as one: a key of the old map keeps its ordinal, others follow in the new map's order."""
+    top = old.agg(F.coalesce(F.max("ordinal"), F.lit(0))).first()[0]
+    more = new.join(old.select("key"), "key", "left_anti")
+    # a row a pseudonym: session and project names, as many as a report has
+    i = F.row_number().over(Window.orderBy("ordinal", "key"))
+    return old.select("key", F.col("ordinal").cast("bigint").alias("ordinal")).unionByName(more.withColumn("i", i).select("key", (F.col("i") + top).cast("bigint").alias("ordinal")))

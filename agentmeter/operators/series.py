@@ -18,14 +18,15 @@ def cumulative(c: DataFrame) -> DataFrame:
     return c.select("session_id", "request_id", (F.sum("m_total").over(w).cast("double") / 1e6).alias("cum_usd"))
 
 
-def thinned(c: DataFrame, points: int = 50) -> DataFrame:
-    """The cumulative series with the last point of each bucket of a session's time."""
+def thinned(c: DataFrame, points: int = 2000) -> DataFrame:
+    """The cumulative series: whole up to so many points, else the last point of each bucket of the session's time."""
     s = Window.partitionBy("session_id")
     t = micros()
-    d = c.withColumn("t", t).withColumn("t0", F.min(t).over(s)).withColumn("span", F.max(t).over(s) - F.min(t).over(s))
     w = s.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("cum", F.sum("m_total").over(w)).withColumn("bucket", F.expr(f"coalesce((t - t0) * {points - 1} div nullif(span, 0), 0)"))
-    return d.groupBy("session_id", "bucket").agg((F.max("cum").cast("double") / 1e6).alias("cum_usd"))
+    d = c.select("session_id", "request_id", "ts", t.alias("t"), F.sum("m_total").over(w).alias("cum"), F.row_number().over(s.orderBy(*ORDER)).alias("i"))
+    d = d.withColumns({"n": F.count("*").over(s), "t0": F.min("t").over(s), "span": F.max("t").over(s) - F.min("t").over(s)})
+    bucket = F.when(F.col("n") <= points, F.col("i") - 1).otherwise(F.expr(f"coalesce((t - t0) * {points - 1} div nullif(span, 0), 0)"))
+    return d.groupBy("session_id", bucket.alias("bucket")).agg(F.max("t").alias("t"), (F.max("cum").cast("double") / 1e6).alias("cum_usd"))
 
 
 def growth(c: DataFrame, turns: DataFrame) -> DataFrame:
@@ -68,6 +69,12 @@ def days(c: DataFrame) -> DataFrame:
     return full.select(F.col("day").cast("string").alias("day"), (F.col("m").cast("double") / 1e6).alias("usd"), (F.sum("m").over(w).cast("double") / 1e6).alias("usd_7d"))
 
 
+def contexts(c: DataFrame, windows: DataFrame, default: int = 200_000) -> DataFrame:
+    """The main context at each request, and what share of its model's window it is. windows: model_key, max_tokens."""
+    m = c.filter("origin = 'main'").join(F.broadcast(windows), "model_key", "left").withColumn("max_tokens", F.coalesce("max_tokens", F.lit(default)).cast("bigint"))
+    return m.select("session_id", "request_id", "context_tokens", "max_tokens", (F.floor(10000.0 * F.col("context_tokens") / F.col("max_tokens") + 0.5) / 100.0).alias("pct"))
+
+
 def top_calls(c: DataFrame, k: int = 3) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy(F.desc("m_total"), "request_id")
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("session_id", "rank", "request_id", (F.col("m_total").cast("double") / 1e6).alias("usd_total"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from ..operators import marts, pricing, privacy, rereads, search, series
+from ..functions import rates
+from ..operators import advice, marts, pricing, privacy, rereads, search, series
 from ..sources import facade, transcripts
 from . import more, more_sql, oracle
 
@@ -44,6 +45,23 @@ def w09(spark: SparkSession, d: str) -> DataFrame:
     return rereads.carry(r, c).select("request_id", "gen", "carry_requests")
 
 
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The re-read ledger with what each read goes on costing."""
+    m = facade.marks(spark, d)
+    c = rereads.with_generation(facade.calls(spark, d).withColumn("window", X.window_key(F.col("origin"), F.col("agent_id"))), m)
+    r = rereads.carry(rereads.classify(facade.tools(spark, d), m), c)
+    return rereads.priced(r, advice.primary_rates(priced(spark, d)))
+
+
+def c08(spark: SparkSession, d: str) -> DataFrame:
+    return ledger(spark, d).select("request_id", "reason", "gen", "carry_requests", "tokens", F.round("carry_usd", 9).alias("carry_usd"), F.round("calibrated_usd", 9).alias("calibrated_usd"))
+
+
+def w07(spark: SparkSession, d: str) -> DataFrame:
+    windows = spark.createDataFrame([(m, w) for m, _, w, _ in rates.MODELS if w], "model_key string, max_tokens long")
+    return series.contexts(priced(spark, d), windows)
+
+
 def w10(spark: SparkSession, d: str) -> DataFrame:
     return rereads.classify(facade.tools(spark, d), facade.marks(spark, d)).select("request_id", "reason")
 
@@ -76,8 +94,10 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c20(spark: SparkSession, d: str) -> DataFrame:
-    q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({search.TERM})"), 1)).alias("term"))
-    return search.bm25(texts(spark, d), q.filter("query_id % 10 = 0")).select("query_id", "rank", "id", "score")
+    """Every benchmark item asked of the documents' sources and texts."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "text")
+    q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25(t, q, weights={"source": 3.0, "text": 1.0}).select("query_id", "rank", "id", "score")
 
 
 def t03(spark: SparkSession, d: str) -> DataFrame:
@@ -93,9 +113,10 @@ def t03(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u03(spark: SparkSession, d: str) -> DataFrame:
-    """Known users less those seen again in the second half of the time."""
-    e = facade.events(spark, d)
-    return e.select("user_id").distinct().exceptAll(e.filter("event_id % 2 = 1 and event_type = 'view'").select("user_id").distinct())
+    """The files a user's days knew that the last day no longer saw: known except seen."""
+    t = facade.tools(spark, d).filter("name = 'Read'").select("session_id", "path", F.to_date("ts").alias("day"))
+    last = t.groupBy("session_id").agg(F.max("day").alias("last"))
+    return t.select("session_id", "path").distinct().exceptAll(t.join(last, "session_id").filter("day = last").select("session_id", "path").distinct())
 
 
 def queries() -> dict[str, Query]:
@@ -109,7 +130,7 @@ def queries() -> dict[str, Query]:
         "a22_daily_rollup": on(marts.daily), "a37_bounds": on(marts.bounds), "c06_settle": c06, "c12_audit": lambda s, d: privacy.findings(texts(s, d)), "c13_scrub": c13, "c20_bm25": c20,
         "j04_asof": lambda s, d: series.asof_turn(facade.calls(s, d), facade.prompts(s, d)).select("request_id", "turn_id"), "j11_overlap": j11, "o03_topk": on(series.top_calls),
         "t03_live": t03, "u03_except": u03, "w04_cumulative": on(series.cumulative), "w05_thinned": on(series.thinned), "w08_growth": on(series.growth, facade.prompts),
-        "w09_carry": w09, "w10_rereads": w10, "w11_islands": lambda s, d: rereads.islands(facade.tools(s, d).filter("name = 'Read'")), "w12_runs": on(series.runs),
+        "w09_carry": w09, "w10_rereads": w10, "c08_ledger": c08, "a19_corpus_rereads": lambda s, d: rereads.corpus(ledger(s, d)), "a18_summary": lambda s, d: rereads.summary(ledger(s, d)), "w07_contexts": w07, "w11_islands": lambda s, d: rereads.islands(facade.tools(s, d).filter("name = 'Read'")), "w12_runs": on(series.runs),
         "w15_day_series": on(series.days), "w19_capped_topk": tools(series.capped), "w20_pseudonyms": lambda s, d: series.pseudonyms(facade.calls(s, d), "agent_id"), "w23_burn": on(series.burn),
         **more.queries(),
     }

@@ -27,8 +27,14 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     return r.select("session_id", micros(F.col("run_start")).alias("run_us"), "ord", (F.col("reported").cast("double") / 1e6).alias("usd"), micros(F.col("billed_ts")).alias("billed_us"))
 
 
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    from .catalog import ledger
+
+    return advice.facts(priced(spark, d), facade.tools(spark, d), ledger(spark, d))
+
+
 def levers(spark: SparkSession, d: str) -> DataFrame:
-    return advice.levers(advice.facts(priced(spark, d), facade.tools(spark, d)))
+    return advice.levers(facts(spark, d))
 
 
 def bracket(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +108,7 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("bytes"), "request_id"))
-    return facade.tools(spark, d).select(F.col("session_id").alias("key"), r.alias("rank"), F.expr("bytes div 4").alias("tokens")).filter("rank <= 40")
+    return facade.tools(spark, d).select(F.col("session_id").alias("key"), r.alias("rank"), F.expr("bytes div 4").alias("tokens"))
 
 
 def o09(spark: SparkSession, d: str) -> DataFrame:
@@ -160,10 +166,9 @@ def c16(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    f = lambda s, d: advice.facts(priced(s, d), facade.tools(s, d))
     return {
         "a14_runs": a14, "a16_coverage": lambda s, d: billing.coverage(priced(s, d), runs(s, d)), "c02_reconcile": costs, "j09_model_gap": lambda s, d: billing.model_gap(priced(s, d), runs(s, d)),
-        "a24_provenance": lambda s, d: billing.provenance(costs(s, d)), "c03_findings": lambda s, d: advice.findings(f(s, d)), "c04_levers": levers, "c05_combined": lambda s, d: advice.combined(levers(s, d)),
+        "a24_provenance": lambda s, d: billing.provenance(costs(s, d)), "c03_findings": lambda s, d: advice.findings(facts(s, d)), "c04_levers": levers, "c05_combined": lambda s, d: advice.combined(levers(s, d)),
         "a33_corpus_levers": lambda s, d: advice.corpus(levers(s, d)), "c07_turn_residency": lambda s, d: advice.turn_residency(series.by_turn(priced(s, d), facade.prompts(s, d))),
         "j07_bracket": bracket, "c11_accounts": c11, "a25_account_rollup": a25, "a26_sources": lambda s, d: accounts.source_counts(attributed(s, d)), "w21_labels": w21,
         "t15_epochs": lambda s, d: epochs(s, d).select("session_id", "request_id", "epoch"), "a28_resident": lambda s, d: alerts.resident(reads(s, d)), "c27_replay": lambda s, d: alerts.duplicate_lines(reads(s, d)),

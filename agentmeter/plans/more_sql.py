@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators.advice import FANOUT, ROUND_TRIP, SLICE, TOOL_OUTPUT
+from ..functions.rates import MODELS, TIERS
+from ..operators.advice import CHEAPER, FANOUT, ROUND_TRIP, SLICE, TOOL_OUTPUT
 from ..sources.facade import REPORTED_MODELS
+from .oracle import LEDGER
 
 _models = ", ".join(f"'{m}'" for m in REPORTED_MODELS)
 _BILL = f""",
@@ -19,15 +21,23 @@ agreed AS (SELECT session_id, reported_usd, computed_usd, computed_usd - open_us
          CASE WHEN reported_usd IS NULL THEN 'unavailable' WHEN open_usd > 0.05::DOUBLE * computed_usd THEN 'partial' WHEN abs(reported_usd - (computed_usd - open_usd)) / nullif(reported_usd, 0) <= 0.02::DOUBLE THEN 'ok' ELSE 'drift' END AS status FROM sums)
 """
 _m = lambda c: f"CAST(coalesce(sum(m_total) FILTER ({c}), 0) AS DOUBLE)"
-_ADVICE = f""",
+_CHEAP = dict(zip(("input_tokens", "output_tokens", "cw5_tokens", "cw1_tokens", "cache_read"), next(t for t in TIERS if t[0] == next(x[1] for x in MODELS if x[0] == CHEAPER))[1:6], strict=True))
+_cheap = " + ".join(f"coalesce(sum({n}) FILTER (origin <> 'main'), 0)::DOUBLE * {r}::DOUBLE" for n, r in _CHEAP.items())
+_ADVICE = LEDGER + f""",
 f AS (SELECT * FROM (SELECT session_id, CAST(sum(m_total) AS DOUBLE) AS m, CAST(sum(m_read) AS DOUBLE) AS m_read, CAST(sum(m_cw5 + m_cw1) AS DOUBLE) AS m_write, CAST(sum(m_cw1) AS DOUBLE) AS m_cw1, {_m("origin <> 'main'")} AS m_side, {_m("is_error")} AS m_failed,
-      count(*) FILTER (unpriced) AS unpriced, count(*) FILTER (is_error) AS failed, max(context_tokens) AS peak, CAST(sum(cache_read) AS DOUBLE) AS read_tokens, CAST(sum(context_tokens) AS DOUBLE) AS context_tokens FROM priced GROUP BY 1)
-      LEFT JOIN (SELECT session_id, count(*) AS uses, count(*) FILTER (is_error) AS tool_errors, CAST(sum(bytes) AS DOUBLE) AS tool_bytes, count(*) FILTER (name = 'Read') AS reads FROM tools GROUP BY 1) USING (session_id)),
+      count(*) FILTER (unpriced) AS unpriced, count(*) FILTER (is_error) AS failed, max(context_tokens) AS peak, CAST(sum(cache_read) AS DOUBLE) AS read_tokens, CAST(sum(context_tokens) AS DOUBLE) AS context_tokens,
+      CAST(sum(cw5_tokens + cw1_tokens) AS DOUBLE) AS write_tokens, {_cheap} AS m_cheap FROM priced GROUP BY 1)
+      LEFT JOIN (SELECT session_id, max(x) AS m_widest FROM (SELECT session_id, CAST(sum(m_total) AS DOUBLE) AS x FROM priced WHERE origin <> 'main' GROUP BY session_id, agent_type) GROUP BY 1) USING (session_id)
+      LEFT JOIN (SELECT session_id, count(*) AS uses, count(*) FILTER (is_error) AS tool_errors, CAST(sum(bytes) AS DOUBLE) AS tool_bytes FROM tools GROUP BY 1) USING (session_id)
+      LEFT JOIN (SELECT session_id, sum(w) AS wasted FROM (SELECT session_id, w, row_number() OVER (PARTITION BY session_id ORDER BY w DESC, name, path) AS r FROM (SELECT session_id, name, path, CAST(sum(bytes) * (count(*) - 1) // count(*) AS BIGINT) AS w FROM tools GROUP BY 1, 2, 3 HAVING count(*) >= 2)) WHERE r <= 20 GROUP BY 1) USING (session_id)
+      LEFT JOIN (SELECT session_id, count(*) AS agent_reads, sum(carry_usd) AS agent_carry FROM ledger WHERE reason = 'subagent' GROUP BY 1) USING (session_id) LEFT JOIN pr USING (session_id)),
+tk AS (SELECT *, r5 + read_tokens / greatest(1, write_tokens) * rr AS token FROM f),
 lv AS (SELECT session_id, m, unnest([
-      {{'lever': 'fanout-width', 'grp': 'fanout-width', 'usd': m_side * {FANOUT}::DOUBLE / 1e6}}, {{'lever': 'tool-output', 'grp': 'context', 'usd': (m_read + m_write) * {TOOL_OUTPUT}::DOUBLE / 1e6}},
-      {{'lever': 'errors', 'grp': 'errors', 'usd': m_failed / 1e6}}, {{'lever': 'cache-ttl', 'grp': 'cache-ttl', 'usd': m_cw1 * 0.375::DOUBLE / 1e6}},
-      {{'lever': 'slice-for-agents', 'grp': 'context', 'usd': greatest(0, coalesce(tool_bytes, 0) / 4 * 0.126::DOUBLE * 1000 * {1 - SLICE!r}::DOUBLE - coalesce(reads, 0) * {ROUND_TRIP}::DOUBLE * 1e6) / 1e6}}], recursive := true) FROM f),
-levers AS (SELECT session_id, lever, grp, usd, usd / nullif(m / 1e6, 0) AS share, row_number() OVER (PARTITION BY session_id ORDER BY usd DESC, lever) AS rank FROM lv WHERE usd > 0.01)
+      {{'lever': 'model-routing', 'grp': 'model-routing', 'status': 'available', 'usd': (m_side - m_cheap) / 1e6}}, {{'lever': 'redundant-reads', 'grp': 'context', 'status': 'available', 'usd': coalesce(wasted, 0)::DOUBLE / 4 * token / 1e6}},
+      {{'lever': 'fanout-width', 'grp': 'fanout-width', 'status': 'available', 'usd': coalesce(m_widest, 0) * {FANOUT}::DOUBLE / 1e6}}, {{'lever': 'tool-output', 'grp': 'context', 'status': 'available', 'usd': coalesce(tool_bytes, 0) / 4 * token * {TOOL_OUTPUT}::DOUBLE / 1e6}},
+      {{'lever': 'errors', 'grp': 'errors', 'status': 'available', 'usd': m_failed / 1e6}}, {{'lever': 'cache-ttl', 'grp': 'cache-ttl', 'status': 'rejected', 'usd': m_cw1 * 0.375::DOUBLE / 1e6}},
+      {{'lever': 'slice-for-agents', 'grp': 'context', 'status': 'available', 'usd': CASE WHEN coalesce(agent_carry, 0) > 0.01 THEN greatest(0, agent_carry * {1 - SLICE!r}::DOUBLE - agent_reads * {ROUND_TRIP}::DOUBLE) ELSE 0 END}}], recursive := true) FROM tk),
+levers AS (SELECT session_id, lever, grp, status, usd, usd / nullif(m / 1e6, 0) AS share, row_number() OVER (PARTITION BY session_id ORDER BY round(usd, 9) DESC, lever) AS rank FROM lv WHERE usd > 0.01)
 """
 _find = lambda code, sev, value, least: f"SELECT session_id, '{code}' AS code, '{sev}' AS severity, CAST({value} AS DOUBLE) AS value FROM f WHERE {value} > {least}"
 _share = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0)"
@@ -52,7 +62,7 @@ isl AS (SELECT session_id, epoch, path, island, min(lo) AS lo, max(hi) AS hi, co
 res AS (SELECT session_id, epoch, path, CAST(sum(n) AS BIGINT) AS reads, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS spans, CAST(sum(hi - lo + 1) AS BIGINT) AS lines FROM isl GROUP BY 1, 2, 3)
 """
 _RANKED = """,
-rk AS (SELECT * FROM (SELECT session_id AS key, row_number() OVER (PARTITION BY session_id ORDER BY bytes DESC, request_id) AS rank, bytes // 4 AS tokens FROM tools) WHERE rank <= 40)
+rk AS (SELECT session_id AS key, row_number() OVER (PARTITION BY session_id ORDER BY bytes DESC, request_id) AS rank, bytes // 4 AS tokens FROM tools)
 """
 _KINDS = ("input", "output", "cw5", "cw1", "read", "search")
 _STATE = "CASE WHEN n.id IS NULL THEN 'removed' WHEN o.id IS NULL THEN 'added' WHEN n.size = o.size AND n.mtime = o.mtime THEN 'same' WHEN n.digest = o.digest THEN 'touched' ELSE 'changed' END"
@@ -66,7 +76,7 @@ BODY = {
     "a24_provenance": _BILL + "SELECT source, count(*) AS sessions, round(sum(usd), 6) AS usd, bool_or(source <> 'reported') AS estimate, CASE source WHEN 'reported' THEN 'billed' WHEN 'mixed' THEN 'billed+measured' ELSE 'measured' END AS label FROM agreed GROUP BY 1",
     "c03_findings": _ADVICE + _FOUND,
     "c04_levers": _ADVICE + "SELECT * FROM levers",
-    "c05_combined": _ADVICE + "SELECT session_id, round(sum(usd), 5) AS usd, count(*) AS groups FROM (SELECT session_id, grp, max(usd) AS usd FROM levers GROUP BY 1, 2) GROUP BY 1",
+    "c05_combined": _ADVICE + "SELECT session_id, round(sum(usd), 5) AS usd, count(*) AS groups FROM (SELECT session_id, grp, max(usd) AS usd FROM levers WHERE status <> 'rejected' GROUP BY 1, 2) GROUP BY 1",
     "a33_corpus_levers": _ADVICE + "SELECT lever, count(*) AS sessions, round(sum(usd), 4) AS usd FROM levers GROUP BY 1",
     "c07_turn_residency": """, bt AS (SELECT session_id, turn_id, count(*) AS calls, CAST(sum(m_total) * 100000 AS BIGINT) AS w FROM turned WHERE turn_id IS NOT NULL GROUP BY 1, 2)
         SELECT session_id, count(*) AS turns, median(w) / 1e11 AS turn_usd, median(w // calls) / 1e11 AS call_usd FROM bt GROUP BY 1 HAVING count(*) >= 3""",

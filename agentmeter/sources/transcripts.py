@@ -40,7 +40,7 @@ def snapshots(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     carried = F.last(F.when(F.col("kind") == "user", own), ignorenulls=True).over(w)
     u = "$.message.usage."
-    a = lines.withColumn("prompt_id", F.coalesce(own, carried)).filter("kind = 'assistant' and not bad")
+    a = lines.withColumn("prompt_id", F.coalesce(own, carried)).filter((F.col("kind") == "assistant") | (F.col("kind").isNull() & ~F.col("bad") & (field("$.message.role") == "assistant")))
     rid = F.coalesce(F.nullif(field("$.requestId"), F.lit("")), F.concat(F.lit("uuid:"), field("$.uuid")))
     return a.select(
         "session_id", rid.alias("request_id"), "file", "ord", "origin", "agent_id", "workflow_id", "prompt_id", F.try_to_timestamp(field("$.timestamp")).alias("ts"),
@@ -82,3 +82,74 @@ def tool_results(lines: DataFrame) -> DataFrame:
     r = lines.filter("kind = 'user' and not bad").select("session_id", "file", "ord", "chars", F.explode(F.try_variant_get("v", "$.message.content", "array<variant>")).alias("b"))
     r = r.filter(F.try_variant_get("b", "$.type", "string") == "tool_result").withColumn("tool_use_id", F.try_variant_get("b", "$.tool_use_id", "string"))
     return r.groupBy("session_id", "tool_use_id").agg(F.max_by(F.struct(F.coalesce(F.try_variant_get("b", "$.is_error", "boolean"), F.lit(False)).alias("is_error"), F.col("chars").alias("bytes")), F.struct((F.col("file").contains("/subagents/")).alias("side"), "file", "ord")).alias("r")).select("session_id", "tool_use_id", "r.*")
+
+
+def file_span(block: str = "v") -> Column:
+    """What a read returned, from the line's toolUseResult.file: start, count, total; null where a number is missing or out of range."""
+    get = lambda f: F.try_variant_get(block, f"$.toolUseResult.file.{f}", "bigint")
+    start, n, total = get("startLine"), get("numLines"), get("totalLines")
+    good = (start >= 1) & (n >= 0) & (total >= 0)
+    return F.when(good, F.struct(start.alias("start"), n.alias("n"), total.alias("total")))
+
+
+def target(name: Column, path: Column, command: Column, pattern: Column, url: Column) -> Column:
+    """A tool's work fingerprint: its file, else the command with white space squeezed (300 signs), else what it looks for."""
+    squeezed = F.substring(F.trim(F.regexp_replace(command, r"\s+", " ")), 1, 300)
+    return F.when(name == "Bash", squeezed).otherwise(F.coalesce(path, pattern, url))
+
+
+def tool_facts(uses: DataFrame, results: DataFrame, timings: DataFrame | None = None) -> DataFrame:
+    """uses with the result of each and, where a journal has them, its time and size; one row a use.
+
+    timings: session_id, tool_use_id, ord, duration_ms, result_bytes, is_error; the last event of a use counts.
+    """
+    key = ["session_id", "tool_use_id"]
+    t = uses.join(results.withColumnRenamed("bytes", "result_bytes"), key, "left").withColumn("is_error", F.coalesce("is_error", F.lit(False)))
+    if timings is None:
+        return t.withColumn("duration_ms", F.lit(None).cast("bigint"))
+    last = timings.groupBy(*key).agg(F.max_by(F.struct("duration_ms", "result_bytes", "is_error"), "ord").alias("j"))
+    t = t.join(last, key, "left")
+    own = t.withColumn("result_bytes", F.coalesce("result_bytes", "j.result_bytes")).withColumn("duration_ms", F.col("j.duration_ms"))
+    return own.withColumn("is_error", F.col("is_error") | F.coalesce("j.is_error", F.lit(False))).drop("j")
+
+
+def prompts(lines: DataFrame, limit: int = 220) -> DataFrame:
+    """The turns of a session: real prompts of the main file, with a preview of their text.
+
+    Real: of the main file, neither meta nor side chain, without a tool result, with text that is
+    no output of a local command. A slash command is shown as its name and arguments.
+    """
+    content = F.try_variant_get("v", "$.message.content", "array<variant>")
+    blocks = F.transform(F.coalesce(content, F.expr("cast(array() as array<variant>)")), lambda b: F.try_variant_get(b, "$.text", "string"))
+    kinds = F.transform(F.coalesce(content, F.expr("cast(array() as array<variant>)")), lambda b: F.try_variant_get(b, "$.type", "string"))
+    text = F.coalesce(F.when(content.isNull(), field("$.message.content")), F.array_join(blocks, " "))
+    name, args = F.regexp_extract(text, r"<command-name>\s*([^<]*?)\s*</command-name>", 1), F.regexp_extract(text, r"(?s)<command-args>\s*(.*?)\s*</command-args>", 1)
+    shown = F.when(name != "", F.trim(F.concat_ws(" ", name, args))).otherwise(text)
+    preview = F.substring(F.trim(F.regexp_replace(shown, r"\s+", " ")), 1, limit)
+    flag = lambda p: F.coalesce(field(p, "boolean"), F.lit(False))
+    u = lines.filter("kind = 'user' and not bad and origin = 'main'").filter(~flag("$.isMeta") & ~flag("$.isSidechain"))
+    u = u.withColumns({"kinds": kinds, "preview": preview, "raw": text, "prompt_id": field("$.promptId"), "ts": F.try_to_timestamp(field("$.timestamp"))})
+    return u.filter("not array_contains(kinds, 'tool_result') and preview <> '' and not startswith(raw, '<local-command-stdout>')").select("session_id", "file", "ord", "ts", "prompt_id", "preview")
+
+
+def with_turns(calls: DataFrame, turns: DataFrame) -> DataFrame:
+    """calls with turn_ts: that of the last turn of their prompt id, else the latest that began at or before them."""
+    by_id = turns.filter("prompt_id is not null").groupBy("session_id", "prompt_id").agg(F.max("ts").alias("_by_id"))
+    c = calls.join(by_id, ["session_id", "prompt_id"], "left")
+    both = c.withColumn("_t", F.lit(None).cast("timestamp")).withColumn("_is", F.lit(1)).unionByName(turns.select("session_id", "ts", F.col("ts").alias("_t"), F.lit(0).alias("_is")), allowMissingColumns=True)
+    w = Window.partitionBy("session_id").orderBy("ts", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("turn_ts", F.coalesce("_by_id", F.last("_t", ignorenulls=True).over(w))).filter("_is = 1").drop("_t", "_is", "_by_id")
+
+
+def compactions(lines: DataFrame, journal: DataFrame | None = None) -> DataFrame:
+    """session_id, ts, trigger, pre_tokens, post_tokens: those of the transcripts, and of a journal what they lack.
+
+    A journal row (same columns) is known if its session's transcript has the same tokens before.
+    """
+    get = lambda p, t: field(f"$.compactMetadata.{p}", t)
+    own = lines.filter((F.col("kind") == "system") & (field("$.subtype") == "compact_boundary") & (F.col("origin") == "main"))
+    own = own.select("session_id", F.try_to_timestamp(field("$.timestamp")).alias("ts"), F.coalesce(get("trigger", "string"), F.lit("auto")).alias("trigger"), get("preTokens", "bigint").alias("pre_tokens"), get("postTokens", "bigint").alias("post_tokens"))
+    if journal is None:
+        return own
+    more = journal.join(own.select("session_id", "pre_tokens"), ["session_id", "pre_tokens"], "left_anti")
+    return own.unionByName(more.select(*own.columns))
