@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rates import GEO, SYNTHETIC
@@ -59,3 +59,92 @@ def read_span(offset: Column, limit: Column) -> tuple[Column, Column]:
     """First and last line a read asks for; open without a limit."""
     lo = F.greatest(F.lit(1), F.coalesce(offset, F.lit(1)))
     return lo, F.when(F.coalesce(limit, F.lit(0)) > 0, lo + limit - 1)
+
+
+def extension(path: Column) -> Column:
+    """The ending of a path with its dot, of eight signs at most; empty without one."""
+    return F.regexp_extract(F.coalesce(path, F.lit("")), r"(\.[A-Za-z0-9]{1,8})$", 1)
+
+
+def depth(path: Column) -> Column:
+    """How many named parts a path has."""
+    return F.size(F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != ""))
+
+
+def short_token(kind: str, value: Column, salt: str = "") -> Column:
+    """A stable name of eight hex digits for a value of a kind."""
+    return F.substring(F.sha2(F.concat(F.lit(f"{salt}{kind}:"), value), 256), 1, 8)
+
+
+def parsed_span(text: Column, lines: int) -> tuple[Column, Column]:
+    """First and last line of a span written lo-hi or lo, in order and within a file of so many lines; null if it is neither."""
+    part = lambda i: F.nullif(F.regexp_extract(text, r"^\s*([0-9]+)\s*(?:-\s*([0-9]+))?\s*$", i), F.lit("")).try_cast("bigint")
+    a, b = part(1), F.coalesce(part(2), part(1))
+    clamp = lambda c: F.greatest(F.lit(1), F.least(F.lit(lines), c))
+    return F.when(a.isNotNull(), clamp(F.least(a, b))), F.when(a.isNotNull(), clamp(F.greatest(a, b)))
+
+
+def error_status(value: Column) -> Column:
+    """A whole number as it is, all else as `error`: what an error says may be private."""
+    return F.coalesce(value.try_cast("int").cast("string"), F.lit("error"))
+
+
+#: By what a figure may be scaled where it is shown.
+SCALES = (1, 2, 3, 4, 5, 10, 100, 1000)
+
+
+def written_forms(rows: DataFrame, value: str) -> DataFrame:
+    """rows with scale, places and written: the value over each scale at 0 to 4 places, as it would be printed."""
+    scaled = rows.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in SCALES])))
+    quotient = F.col(value) / F.col("scale").cast("decimal(6,1)")
+    forms = F.array(*[F.struct(F.lit(p).alias("places"), F.round(quotient, p).cast(f"decimal(18,{p})").cast("string").alias("written")) for p in range(5)])
+    return scaled.withColumn("f", F.explode(forms)).select("*", "f.*").drop("f")
+
+
+def significant(written: Column) -> Column:
+    """The significant digits of a number as it is written: zeros in front do not count."""
+    return F.length(F.regexp_replace(F.regexp_replace(written, "[^0-9]", ""), "^0+", ""))
+
+
+def prompt_terms(prompts: DataFrame, key: list[str], stop: tuple[str, ...], most: int = 12, signs: int = 4000) -> DataFrame:
+    """key, term, n, rank: the words that a prompt says most often, ties by where they come first. prompts: key, text."""
+    words = F.regexp_extract_all(F.lower(F.substring("text", 1, signs)), F.lit("([a-z][a-z0-9_]+)"), 1)
+    t = prompts.select(*key, F.posexplode(words).alias("i", "term")).filter((F.length("term") > 2) & ~F.col("term").isin(*stop))
+    g = t.groupBy(*key, "term").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    w = Window.partitionBy(*key).orderBy(F.desc("n"), "first")
+    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("first")
+
+
+#: Programs whose name says nothing private.
+PROGRAMS = ("git", "ls", "cat", "rg", "grep", "find", "sed", "awk", "python", "python3", "node", "npm", "npx", "pytest", "make", "cargo", "go", "docker", "curl", "jq", "head", "tail", "wc", "echo", "mkdir", "rm", "cp", "mv")
+
+
+def first_program(command: Column) -> Column:
+    """The program that a command runs first, of the listed ones; if that is not one, what follows the first separator."""
+    names = F.transform(F.slice(F.split(command, r"&&|\|\||;|\|"), 1, 2), lambda x: F.regexp_extract(F.trim(x), r"^(?:\S*/)?([^\s/]+)", 1))
+    return F.try_element_at(F.filter(names, lambda x: x.isin(*PROGRAMS)), F.lit(1))
+
+
+def normal_path(path: Column) -> Column:
+    """A path with single slashes, without . parts, and with .. parts resolved."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda s, x: F.when((x == "..") & (F.size(s) > 0) & (F.element_at(s, -1) != ".."), F.slice(s, 1, F.size(s) - 1)).otherwise(F.array_append(s, x))
+    own = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda s, x: F.when((x == "..") & (F.size(s) == 0) & path.startswith("/"), s).otherwise(up(s, x)))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(own, "/"))
+
+
+def named_paths(text: Column) -> Column:
+    """The path-shaped words of a text, normalised, once each: with a slash and an ending, or an ending of a source file."""
+    found = F.regexp_extract_all(text, F.lit(r"((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,8}|\b[A-Za-z0-9_-]+\.(?:py|ts|js|cs|sql|md|css|html))"), 1)
+    return F.array_distinct(F.transform(found, normal_path))
+
+
+def chunk_terms(text: Column, most: int = 320) -> Column:
+    """The distinct identifiers of a text in the order they first come, lower-cased."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z_][a-z0-9_]{1,63})"), 1)), 1, most)
+
+
+def best_line(text: Column, terms: Column) -> Column:
+    """The line of a text that holds most of the terms, the first of equals, white space squeezed."""
+    scored = F.transform(F.split(text, "\n"), lambda line, i: F.struct(F.size(F.filter(terms, lambda t: F.contains(F.lower(line), t))).alias("n"), (-i).alias("i"), F.trim(F.regexp_replace(line, r"\s+", " ")).alias("line")))
+    return F.array_max(scored)["line"]

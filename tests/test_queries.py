@@ -9,7 +9,7 @@ import pytest
 from agentmeter.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents benchmark"
+TABLES = "events documents benchmark pages conversations"
 
 
 def plain(v):

@@ -123,3 +123,51 @@ def test_turns_results_and_compactions(spark, tmp_path):
     assert len(facts) == 3 and facts["t1"].is_error and facts["t1"].duration_ms == 9 and not facts["t2"].is_error
     journal = spark.createDataFrame([("s1", at(9), "auto", 100, 10), ("s1", at(20), "manual", 300, 30)], "session_id string, ts timestamp, trigger string, pre_tokens long, post_tokens long")
     assert sorted(r.pre_tokens for r in transcripts.compactions(lines, journal).collect()) == [100, 300]
+
+
+def test_scalar_rules(spark):
+    from pyspark.sql import functions as F
+
+    from agentmeter.functions import columns as X
+
+    rows = [("cd x && git commit -m 'a'", "/a//b/./../c", "see src/a.py and lib/./b.ts, README.md", "12-5", "1.50"), ("/usr/bin/python3 run", "../x/../../y", "nothing", "x", "0.0070"), ("secret-tool run; ls", "/..", "", "7", "300")]
+    r = spark.createDataFrame(rows, "cmd string, path string, text string, span string, num string").select(
+        X.first_program(F.col("cmd")).alias("p"), X.normal_path(F.col("path")).alias("n"), X.named_paths(F.col("text")).alias("t"), *[c.alias(a) for c, a in zip(X.parsed_span(F.col("span"), 10), ("lo", "hi"))], X.significant(F.col("num")).alias("s"),
+        X.best_line(F.lit("one two\ntwo  three two\nthree"), F.array(F.lit("two"), F.lit("three"))).alias("b"), X.chunk_terms(F.lit("b A b_1 9x")).alias("c"),
+    ).collect()
+    assert [x.p for x in r] == ["git", "python3", "ls"] and [x.n for x in r] == ["/a/c", "../../y", "/"]
+    assert r[0].t == ["src/a.py", "lib/b.ts", "README.md"] and [(x.lo, x.hi) for x in r] == [(5, 10), (None, None), (7, 7)]
+    assert [x.s for x in r] == [3, 2, 3] and r[0].b == "two three two" and r[0].c == ["b_1"]
+
+
+def test_journals(spark, tmp_path):
+    from agentmeter.sources import journals
+
+    s = tmp_path / "proj" / "s1"
+    (s / "subagents").mkdir(parents=True)
+    (s / "workflows").mkdir()
+    (tmp_path / "proj" / "s1.jsonl").write_text('{"type":"bridge-session","ownerAccountUuid":"u1"}\n{"type":"bridge-session","ownerAccountUuid":"u2"}\n{"type":"user","timestamp":"2026-01-01T00:00:05Z"}\n{torn line here\n')
+    (s / "subagents" / "agent-a1.jsonl").write_text('{"type":"user","timestamp":"2026-01-01T00:00:09Z"}\n')
+    (s / "subagents" / "agent-a1.meta.json").write_text('{"agentType":"Explore","spawnDepth":1}')
+    (s / "subagents" / "agent-a2.meta.json").write_text("not json")
+    (s / "workflows" / "wf_1.json").write_text('{"workflowName":"w","phases":[{"title":"one"}],"workflowProgress":[{"type":"workflow_agent","agentId":"a1","tokens":5},{"type":"note"}]}')
+    (tmp_path / "s1.tools.ndjson").write_text('{"tool_use_id":"t","duration_ms":1}\n{"tool_use_id":"t","duration_ms":2,"is_error":true}\nx\n')
+    (tmp_path / "s1.compactions.ndjson").write_text('{"ts":"2026-01-01T00:00:00Z","preTokens":10}\n')
+    (tmp_path / "x.attestations.ndjson").write_text('{"at":"2026-01-01T00:00:00Z","uuid":"u1","label":"primary"}\n' * 2)
+    at_ = str(tmp_path)
+    f = journals.session_files(spark, at_).collect()
+    assert [(r.session_id, r.files) for r in f] == [("s1", 2)]
+    assert [(r.session_id, r.agent_id, r.agent_type, r.spawn_depth) for r in journals.agent_metas(spark, at_).collect()] == [("s1", "a1", "Explore", 1)]
+    head, steps = journals.workflows(spark, at_)
+    assert head.first().phases == ["one"] and [(r.workflow_id, r.agent_id, r.tokens) for r in steps.collect()] == [("wf_1", "a1", 5)]
+    e = journals.tool_events(spark, at_).collect()
+    assert [(r.session_id, r.tool_use_id, r.duration_ms, r.is_error) for r in e] == [("s1", "t", 2, True)]
+    assert [(r.trigger, r.pre_tokens, r.post_tokens) for r in journals.compaction_journal(spark, at_).collect()] == [("auto", 10, None)]
+    lines = transcripts.raw_lines(spark, at_)
+    assert [(r.session_id, r.account) for r in journals.owners(lines).collect()] == [("s1", "u2")] and journals.attestations(spark, at_).count() == 1
+    assert sorted((r.lines, r.torn) for r in journals.head_and_tail(lines).collect()) == [(1, 0), (4, 1)]
+    reads = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1)], "path string, size long, mtime long")
+    index = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "path string, size long, mtime long")
+    assert [r.path for r in journals.stale(reads, index).collect()] == ["a"]
+    under = spark.createDataFrame([(1, 1, "h"), (1, 5, None), (2, 1, None)], "id long, lo int, heading string")
+    assert {(r.id, r.lo): r.heading for r in journals.titled(under).collect()} == {(1, 1): "h", (1, 5): "h", (2, 1): None}
