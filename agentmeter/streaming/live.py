@@ -7,8 +7,13 @@ totals are sums over requests. Batch and stream give the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def best(snaps: DataFrame) -> DataFrame:
@@ -22,12 +27,18 @@ def totals(requests: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, stream: DataFrame, state: str, checkpoint: str) -> None:
-    """Drains the stream; state holds one Parquet version a batch, written whole before it is named current."""
+    """Drains the stream; state holds the last two Parquet versions, each written whole before it is named current.
+
+    A batch writes all requests again: for replays and small states. `live_rows` keeps state by key.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         before = spark.read.parquet(f"{state}/v{epoch - 1}") if epoch else None
         both = best(batch) if before is None else best(before.unionByName(batch))
         both.write.mode("overwrite").parquet(f"{state}/v{epoch}")
+        if epoch > 1:  # the version before stays, for a batch that is done again
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/v{epoch - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -40,3 +51,65 @@ def windowed_spend(stream: DataFrame, late: str = "1 day", size: str = "15 minut
 def session_runs(stream: DataFrame, gap: str = "600 seconds", late: str = "1 day") -> DataFrame:
     """Stretches of a session without an idle gap."""
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "session_id").agg(F.count("*").alias("calls"))
+
+
+class Totals(StatefulProcessor):
+    """The running totals of a session: a larger snapshot of a request takes back what the smaller one gave.
+
+    State of a session: each request's best snapshot, tools seen, totals. A session that stays quiet
+    for idle_s after its last request, by the watermark, gets its final row and gives up its state;
+    one that speaks again starts anew, as a later run.
+    """
+
+    def __init__(self, idle_s: int = 300):
+        self.idle_us = idle_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getMapState("best", "request_id long", "output_tokens long")
+        self.tools = handle.getMapState("tools", "tool_use_id string", "seen boolean")
+        self.total = handle.getValueState("total", "calls long, output_tokens long, tools long, last_us long")
+
+    def _row(self, key: tuple, state: tuple, final: bool) -> pd.DataFrame:
+        calls, tokens, tools, last = state
+        row = {"session_id": key[0], "calls": calls, "output_tokens": tokens, "tools": tools, "last_us": last, "final": final}
+        return pd.DataFrame([row])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        calls, tokens, tools, last = self.total.get() if self.total.exists() else (0, 0, 0, 0)
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                rid, n = (int(r.request_id),), int(r.output_tokens)
+                known = self.best.containsKey(rid)
+                before = int(self.best.getValue(rid)[0]) if known else 0
+                if not known or n > before:
+                    tokens += n - before
+                    self.best.updateValue(rid, (n,))
+                calls += not known
+                if r.tool_use_id is not None and not self.tools.containsKey((r.tool_use_id,)):
+                    self.tools.updateValue((r.tool_use_id,), (True,))
+                    tools += 1
+                last = max(last, int(r.ts.value // 1000))
+        self.total.update((calls, tokens, tools, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((last + self.idle_us) // 1000)
+        yield self._row(key, (calls, tokens, tools, last), False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield self._row(key, self.total.get(), True)
+        for state in (self.best, self.tools, self.total):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def live_rows(stream: DataFrame, idle_s: int = 300, late: str = "10 minutes") -> DataFrame:
+    """A row of a session whenever it changes, and its final one. stream: session_id, request_id, output_tokens, tool_use_id, ts.
+
+    State is kept by RocksDB (spark.sql.streaming.stateStore.providerClass), so that it may outgrow memory.
+    """
+    rows = stream.select("session_id", "request_id", "output_tokens", "tool_use_id", "ts").withWatermark("ts", late)
+    schema = f"session_id {dict(stream.dtypes)['session_id']}, calls long, output_tokens long, tools long, last_us long, final boolean"
+    return rows.groupBy("session_id").transformWithStateInPandas(Totals(idle_s), schema, "Update", "EventTime")
