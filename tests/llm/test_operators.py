@@ -515,3 +515,63 @@ def test_registered_queries_hold_their_contracts(spark):
         if name == "op3_langid":
             lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
             assert sum(r.lang_pred == lang[i] for i, r in got.items() if lang[i]) >= 0.97 * len(ids)
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: what it keeps and what it changes."""
+    import corpus_pipeline
+
+    draw = random.Random(21)
+    en = "the house and garden with many trees where old people walk under green leaves while children play near water all day long".split()
+    fr = "la maison et le jardin avec beaucoup d arbres où les vieux marchent sous des feuilles vertes pendant que enfants jouent près".split()
+    say = lambda words, n: " ".join(draw.choice(words) + str(draw.randint(0, 9)) * (draw.random() < 0.2) for _ in range(n))
+    base = [(say(en if i % 2 else fr, draw.randint(30, 90)), "en" if i % 2 else "fr") for i in range(60)]
+    near = [(" ".join(w if draw.random() > 0.01 else "new" for w in t.split()), lang) for t, lang in base[:20]]
+    marked = [(f"{say(en, 20)} {base[0][0]} {say(en, 5)}", "en"), (say(en, 30) + " mail me at jo.b@mail.example.org now", "en")]
+    rows = [(i, t, lang, f"s{i % 3}", None if t is None else len(t)) for i, (t, lang) in enumerate(base + near + base[:5] + marked + [("12 34 !!", "en"), (None, None), ("", "fr")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    items = [(1, " ".join(base[0][0].split()[:25])), (2, "zz yy xx")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "mixture"]
+
+    ids = lambda out: {r.doc_id for r in out.collect()}
+    assert ids(stages["language"](spark, df, str(tmp_path))) == {i for i, t, *_ in rows if any(c.isalpha() for c in t or "")}
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t, *_ in rows if (w := (t or "").encode().lower().split())}
+    comp = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((comp[a], comp[b]))
+                comp = {k: lo if v == hi else v for k, v in comp.items()}
+    kept = stages["near_duplicates"](spark, df, str(tmp_path))
+    assert kept.columns == df.columns and ids(kept) == {i for i, *_ in rows if comp.get(i, i) == i}
+
+    windows = {p for _, t in items for p in decontam.windows(decontam.words_of(t), 13)}
+    bad = set()
+    for i, t, *_ in rows:
+        w, hit = decontam.words_of(t), set()
+        for p in windows:
+            for k in range(len(w) - len(p) + 1):
+                if tuple(w[k : k + len(p)]) == p:
+                    hit |= set(range(k, k + len(p)))
+        if hit and 20 * len(hit) >= len(w):
+            bad.add(i)
+    assert bad and ids(stages["decontamination"](spark, df, str(tmp_path))) == {i for i, *_ in rows} - bad
+
+    clean = {r.doc_id: r for r in stages["personal_data"](spark, df, str(tmp_path)).collect()}
+    for i, t, lang, source, _ in rows:
+        want = None if t is None else t.replace("jo.b@mail.example.org", "<EMAIL>")
+        assert (clean[i].text, clean[i].lang, clean[i].source) == (want, lang, source) and clean[i].n_chars == (None if want is None else len(want))
+
+    mixed = stages["mixture"](spark, df, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in mixed) == [i for i, *_ in rows]
+    assert all(r.size == len((dict((x[0], x[1]) for x in rows)[r.doc_id] or "").split()) and r.taken == r.copies * r.size <= 3 * r.size for r in mixed)
+    whole = corpus_pipeline.run(spark, _with_documents(spark, df, tmp_path)).collect()
+    assert {r.doc_id for r in whole} <= {i for i, *_ in rows} - bad and len(whole) > 40
+
+
+def _with_documents(spark, df, tmp_path):
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
