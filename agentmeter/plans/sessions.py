@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import rates
-from ..operators import listing, pricing
+from ..operators import listing, pricing, publishing
 from ..operators.series import micros
 from ..sources import facade
 from .more import costs
@@ -146,7 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a27_heavy_agents": lambda s, d: listing.heavy_share(facade.tools(s, d), 5, 2), "a31_retrieval": a31, "a34_compactions": a34,
         "a36_top_tool": lambda s, d: listing.top_tool(facade.tools(s, d)), "c10_session_rows": c10, "c25_reprice": c25, "c29_servers": c29,
         "j19_catalog": j19, "o05_listing": o05, "p12_previews": p12, "p14_models": lambda s, d: listing.models(priced(s, d)), "p17_kind_rates": p17,
-        "p19_status": p19, "x12_paths": x12, "x16_tokens": x16, "x21_prompt_terms": x21, "x24_spans": x24, "x27_forms": x27,
+        "p19_status": p19, "x12_paths": x12, "x16_tokens": x16, "x21_prompt_terms": x21, "x24_spans": x24, "x27_forms": x27, **more_queries(),
     }
 
 
@@ -208,5 +208,93 @@ BODY["x27_forms"] = ", f AS (" + " UNION ALL ".join(
 ) + ") SELECT scale, places, count(*) AS n, count(DISTINCT written) AS forms, CAST(sum(length(ltrim(replace(replace(written, '.', ''), '-', ''), '0'))) AS BIGINT) AS digits FROM f GROUP BY 1, 2"
 
 
+# --- publishing
+
+
+def f12(spark: SparkSession, d: str) -> DataFrame:
+    """The models that no rate is known for, and what used them."""
+    c = priced(spark, d).filter("unpriced")
+    return c.groupBy("model_key").agg(F.count("*").alias("calls"), F.countDistinct("session_id").alias("sessions"), F.sum("total_tokens").alias("total_tokens"))
+
+
+def changed(spark: SparkSession, d: str) -> DataFrame:
+    return facade.calls(spark, d).groupBy("session_id").agg(F.max("ts").alias("changed_at"))
+
+
+def built(spark: SparkSession, d: str) -> DataFrame:
+    """Every second session's artifacts, of its newest checkpoint, and those of sessions that are gone."""
+    p = facade.events(spark, d).filter("event_id % 40 = 0").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("built_at"))
+    return p.withColumn("session_id", F.when(F.col("session_id") % 2 == 0, F.col("session_id")).otherwise(F.col("session_id") + 1_000_000))
+
+
+def c28(spark: SparkSession, d: str) -> DataFrame:
+    """The sources' names as terms, in all documents."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "source")
+    words = t.filter("id % 97 = 0").select(F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1), 1, 2)).alias("term"))
+    return publishing.denied(t, words)
+
+
+def c26(spark: SparkSession, d: str) -> DataFrame:
+    c = facade.calls(spark, d)
+    s = c.groupBy("session_id").agg(F.count("*").alias("rows"), F.sum("cache_read").alias("bytes"), F.max(micros()).alias("last_us"))
+    return publishing.retention(s, s.filter(F.col("last_us") < newest(c) - 6 * 3600 * 1_000_000))
+
+
+def o10(spark: SparkSession, d: str) -> DataFrame:
+    c = priced(spark, d)
+    return publishing.rank_bars(c, "model_key", "m_total").unionByName(publishing.rank_bars(c, "session_id", "m_total"))
+
+
+def x31(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1).alias("path"))
+    return p.select("page_id", publishing.slug(F.col("path")).alias("slug"))
+
+
+def u06(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that pages of one half have and those of the other lack."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1).alias("path"))
+    return publishing.drift(p.filter("page_id % 2 = 0"), p.filter("page_id % 2 = 1")).groupBy("state").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+
+
+def k02(spark: SparkSession, d: str) -> DataFrame:
+    rows = publishing.request_rows(priced(spark, d))
+    return rows.select("session_id", "request_id", "model_key", "tier", "fast", "cw5_tokens", "context_tokens", "usd_total", "unpriced", F.coalesce("stop_reason", F.lit("")).alias("stop_reason"))
+
+
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return publishing.numbers(t).groupBy("id").agg(F.count("*").alias("figures"), F.sum("n").alias("n"), F.max(F.length("figure")).alias("longest"))
+
+
+def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "c26_retention": c26, "c28_denied": c28, "f12_unpriced": f12, "k02_export": k02, "k06_pending": lambda s, d: publishing.pending(changed(s, d), built(s, d)),
+        "k07_orphans": lambda s, d: publishing.orphans(built(s, d), changed(s, d)), "k08_live": lambda s, d: publishing.live_rows(priced(s, d), facade.tools(s, d)),
+        "o10_bars": o10, "s13_numbers": s13, "u06_drift": u06, "x31_slugs": x31,
+    }
+
+
+_built = "b AS (SELECT CASE WHEN user_id % 2 = 0 THEN user_id ELSE user_id + 1000000 END AS session_id, max(ts) AS built_at FROM ev WHERE event_id % 40 = 0 GROUP BY 1), ch AS (SELECT session_id, max(ts) AS changed_at FROM calls GROUP BY 1)"
+_paths = r"pp AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)"
+_bars = lambda dim: f"""SELECT * FROM (SELECT '{dim}' AS dimension, CAST({dim} AS VARCHAR) AS name, CAST(sum(m_total) AS DOUBLE) / 1e6 AS usd, CAST(sum(m_total) AS DOUBLE) / (SELECT CAST(sum(m_total) AS DOUBLE) FROM priced) AS share
+    FROM priced GROUP BY 2 ORDER BY sum(m_total) DESC, 2 LIMIT 8)"""
+BODY |= {
+    "c26_retention": f", s AS (SELECT session_id, count(*) AS n, sum(cache_read) AS b, max(epoch_us(ts)) < {_now} - 21600000000 AS goes FROM calls GROUP BY 1) SELECT count(*) FILTER (goes) AS go, count(*) FILTER (NOT goes) AS stay, CAST(coalesce(sum(n) FILTER (goes), 0) AS BIGINT) AS go_rows, CAST(coalesce(sum(b) FILTER (goes), 0) AS BIGINT) AS go_bytes, CAST(coalesce(sum(b) FILTER (NOT goes), 0) AS BIGINT) AS stay_bytes FROM s",
+    "c28_denied": r""", t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')[1:2]) AS term FROM documents WHERE doc_id % 97 = 0),
+        w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) SELECT id, term, CAST(count(*) AS INTEGER) AS n FROM w JOIN t USING (term) GROUP BY 1, 2""",
+    "f12_unpriced": "SELECT model_key, count(*) AS calls, count(DISTINCT session_id) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM priced WHERE unpriced GROUP BY 1",
+    "k02_export": "SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(request_id AS VARCHAR) AS request_id, model_key, tier, CAST(CAST(fast AS INTEGER) AS VARCHAR) AS fast, CAST(cw5_tokens AS VARCHAR) AS cw5_tokens, CAST(context_tokens AS VARCHAR) AS context_tokens, printf('%.10f', CAST(m_total AS DOUBLE) / 1e6) AS usd_total, CAST(CAST(unpriced AS INTEGER) AS VARCHAR) AS unpriced, '' AS stop_reason FROM priced",
+    "k06_pending": f", {_built} SELECT session_id, changed_at FROM ch LEFT JOIN b USING (session_id) WHERE built_at IS NULL OR built_at < changed_at",
+    "k07_orphans": f", {_built} SELECT DISTINCT session_id FROM b WHERE session_id NOT IN (SELECT session_id FROM ch)",
+    "k08_live": """, l AS (SELECT *, max(epoch_us(ts)) OVER (PARTITION BY session_id) AS last_us FROM priced), o AS (SELECT session_id, CAST(sum(m_total) AS DOUBLE) / 1e6 AS usd, count(*) AS calls, max_by(model_key, (ts, request_id)) AS model_key, CAST(sum(m_total) FILTER (last_us - epoch_us(ts) <= 900000000) AS DOUBLE) / 1e6 AS burn_15m FROM l GROUP BY 1),
+        e AS (SELECT session_id, name, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, name) AS r FROM tools GROUP BY 1, 2) SELECT o.*, e.name AS top_tool, usd * 4.0::DOUBLE AS budget_pct FROM o LEFT JOIN e ON e.session_id = o.session_id AND r = 1""",
+    "o10_bars": _bars("model_key") + " UNION ALL " + _bars("session_id"),
+    "s13_numbers": r""", f AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?')) AS f FROM documents), g AS (SELECT id, replace(f, ',', '') AS f, count(*) AS n FROM f GROUP BY 1, 2)
+        SELECT id, count(*) AS figures, CAST(sum(n) AS BIGINT) AS n, CAST(max(length(f)) AS INTEGER) AS longest FROM g GROUP BY 1""",
+    "u06_drift": f", {_paths}, a AS (SELECT DISTINCT path FROM pp WHERE page_id % 2 = 0), c AS (SELECT DISTINCT path FROM pp WHERE page_id % 2 = 1), x AS (SELECT path, 'extra' AS state FROM a WHERE path NOT IN (SELECT path FROM c) UNION ALL SELECT path, 'missing' FROM c WHERE path NOT IN (SELECT path FROM a)) SELECT state, count(*) AS n, min(path) AS first FROM x GROUP BY 1",
+    "x31_slugs": f", {_paths} SELECT page_id, translate(path, '/._', '---') AS slug FROM pp",
+}
+
+
 def sql(facts: str) -> dict[str, str]:
     return {k: facts + v for k, v in BODY.items()}
