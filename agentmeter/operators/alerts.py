@@ -46,17 +46,26 @@ def reread_candidate(res: DataFrame, reads: int = 2, tokens: int = 3000) -> Data
 
 
 def levels(context: DataFrame) -> DataFrame:
-    """session_id, prompt, level of the main context at each prompt that is above a rung. context: share of the window."""
+    """context with level: what a prompt calls for, the most urgent first; null if nothing.
+
+    context: session_id, prompt, share of the window, and where it has one reread, the name of a
+    file that is in context already. A session's first prompt that calls for nothing else is a hint.
+    """
     kind = F.lit(None).cast("string")
-    for name, least in reversed(LADDER):
-        kind = F.when(F.col("share") >= least, name).otherwise(kind)
-    return context.withColumn("level", kind)
+    rungs = [(F.lit(name), F.col("share") >= least) for name, least in LADDER]
+    if "reread" in context.columns:
+        rungs.insert(2, (F.concat(F.lit("reread:"), "reread"), F.col("reread").isNotNull()))
+    for name, holds in reversed(rungs):
+        kind = F.when(holds, name).otherwise(kind)
+    own = context.withColumn("level", kind)
+    first = F.min(F.when(F.col("level").isNull(), F.col("prompt"))).over(Window.partitionBy("session_id"))
+    return own.withColumn("level", F.coalesce("level", F.when(F.col("prompt") == first, "hint")))
 
 
 def alerts(context: DataFrame) -> DataFrame:
     """session_id, prompt, level of the alerts that are given: one that repeats waits 1, 2, 4, then 8 prompts; another kind starts anew.
 
-    context: session_id, prompt (from 1), share. The state of a session is folded over its
+    context: session_id, prompt (from 1), share, reread. The state of a session is folded over its
     prompts in order: (kind, turn it was given, times given).
     """
     g = levels(context).filter("level is not null").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("prompt", "level"))).alias("a"))

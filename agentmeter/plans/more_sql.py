@@ -93,7 +93,9 @@ BODY = {
         SELECT request_id, epoch, coalesce(n, 0) AS dup_lines, CAST(greatest(1, floor(bytes / 4 + 0.5)) AS BIGINT) * coalesce(n, 0) // (hi - lo + 1) AS dup_tokens FROM rd LEFT JOIN d USING (request_id)""",
     "o12_candidate": _EPOCH + "SELECT session_id, epoch, path, reads, bytes FROM (SELECT *, row_number() OVER (PARTITION BY session_id, epoch ORDER BY bytes DESC, path) AS r FROM res WHERE reads >= 2 AND bytes / 4 >= 1000) WHERE r = 1",
     "t14_alerts": """, cx AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS prompt, CAST(context_tokens AS DOUBLE) / 60000 AS share FROM priced WHERE origin = 'main'),
-        lv AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY prompt) AS i FROM (SELECT session_id, prompt, CASE WHEN share >= 0.85::DOUBLE THEN 'urgent' WHEN share >= 0.75::DOUBLE THEN 'warn' WHEN share >= 0.6::DOUBLE THEN 'nudge' END AS level FROM cx) WHERE level IS NOT NULL),
+        l0 AS (SELECT session_id, prompt, CASE WHEN share >= 0.85::DOUBLE THEN 'urgent' WHEN share >= 0.75::DOUBLE THEN 'warn' WHEN share >= 0.6::DOUBLE THEN 'nudge' END AS level FROM cx),
+        l1 AS (SELECT session_id, prompt, coalesce(level, CASE WHEN prompt = min(prompt) FILTER (level IS NULL) OVER (PARTITION BY session_id) THEN 'hint' END) AS level FROM l0),
+        lv AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY prompt) AS i FROM l1 WHERE level IS NOT NULL),
         st AS (SELECT session_id, i, level AS kind, prompt AS at_, 1 AS times, true AS given, prompt, level FROM lv WHERE i = 1 UNION ALL
         SELECT lv.session_id, lv.i, lv.level, CASE WHEN st.kind <> lv.level OR lv.prompt - st.at_ > [1, 2, 4, 8][least(st.times, 4)] THEN lv.prompt ELSE st.at_ END, CASE WHEN st.kind <> lv.level THEN 1 WHEN lv.prompt - st.at_ > [1, 2, 4, 8][least(st.times, 4)] THEN st.times + 1 ELSE st.times END,
         st.kind <> lv.level OR lv.prompt - st.at_ > [1, 2, 4, 8][least(st.times, 4)], lv.prompt, lv.level FROM st JOIN lv ON lv.session_id = st.session_id AND lv.i = st.i + 1)

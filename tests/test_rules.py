@@ -171,3 +171,13 @@ def test_journals(spark, tmp_path):
     assert [r.path for r in journals.stale(reads, index).collect()] == ["a"]
     under = spark.createDataFrame([(1, 1, "h"), (1, 5, None), (2, 1, None)], "id long, lo int, heading string")
     assert {(r.id, r.lo): r.heading for r in journals.titled(under).collect()} == {(1, 1): "h", (1, 5): "h", (2, 1): None}
+
+
+def test_alert_ladder(spark):
+    from agentmeter.operators import alerts
+
+    share = [0.1, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.62, 0.9, 0.9, 0.2, 0.7, 0.8]
+    rows = [("s", i + 1, x, "a.py" if i in (10, 11, 12) else None) for i, x in enumerate(share)]
+    got = alerts.alerts(spark.createDataFrame(rows, "session_id string, prompt long, share double, reread string")).orderBy("prompt").collect()
+    # urgent at 2, silent at 3, again at 4, silent at 5 and 6, again at 7; another kind at 8 starts the ladder anew
+    assert [(r.prompt, r.level) for r in got] == [(1, "hint"), (2, "urgent"), (4, "urgent"), (7, "urgent"), (8, "nudge"), (9, "urgent"), (11, "reread:a.py"), (13, "warn")]
