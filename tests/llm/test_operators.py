@@ -575,3 +575,20 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
 def _with_documents(spark, df, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["op2_topk", "op5_urls", "op6_neardup", "op7_decontam"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from agentmeter.llm import queries as own
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    df = own.queries()[name](spark, d)
+    cols = sorted(df.columns)
+    theirs = con.execute(own.oracle_sql()[name])
+    names = [c[0] for c in theirs.description]
+    assert sorted(names) == cols
+    assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in theirs.fetchall())
