@@ -123,14 +123,20 @@ _kept: dict[str, tuple[Broadcast, Any]] = {}
 def once(name: str, sent: Broadcast, make: Callable[[Any], Any]) -> Any:
     """What make builds of a broadcast's value, once in a worker process: its later tasks find it there.
 
-    One thing a name is kept, so a worker's memory is bounded by the names.
+    A worker keeps the last such thing only: that of the operator that ran before makes room.
     """
     held = _kept.get(name)
     if held is None or held[0] is not sent:
+        make_room()
         _kept[name] = held = (sent, make(sent.value))
     return held[1]
 
 
+def make_room() -> None:
+    """Lets a worker forget what operators before kept in it."""
+    _kept.clear()
+
+
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of links (a, b): a row (id, comp) per node, comp the smallest id it reaches.
 

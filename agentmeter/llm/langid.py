@@ -228,7 +228,7 @@ class Model:
 class Scorer:
     """Texts to languages; the scores of runs seen are kept, within a bound of runs and of letters."""
 
-    def __init__(self, model: Model, max_words: int = 600_000, max_letters: int = 20_000_000):
+    def __init__(self, model: Model, max_words: int = 200_000, max_letters: int = 10_000_000):
         self.model, self.max_words, self.max_letters = model, max_words, max_letters
         self.lattice = Lattice(model.pieces)
         self.clear()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, packed, saved
+from .common import components, forget, make_room, packed, saved
 
 UNIVERSE = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -109,6 +109,7 @@ def _signer(bands: int, rows: int) -> Signer:
 def _signed(n: int, bands: int, rows: int):
     @F.pandas_udf("n_shingles long, digest binary, bands array<long>")
     def sign(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        make_room()
         signer = _signer(bands, rows)
         for batch in texts:
             out = []
