@@ -109,6 +109,19 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs do not have: the given one, with lines behind it while they do."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever signs their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def repeated(rows: DataFrame, times: str, step: int = 1 << 16) -> DataFrame:
     """rows, each as often as its column times says, with _copy from 0; no array is longer than step."""
     n = F.col(times).cast("long")

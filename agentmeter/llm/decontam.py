@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, packed, saved, without
+from .common import free_name, named, once, packed, saved, without
 
 #: Fixed by the contract: words of the lower-cased text, here over its UTF-8 bytes.
 PLAIN_WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,8 +147,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float =
     parts = _parts(benchmark, window, part_bytes)
     first, second = next(parts), next(parts, None)
     if second is None:
-        one = docs.select(packed(docs).alias("row"), _search(spark.sparkContext.broadcast(first))("text").alias("s"))
-        return one.select("row.*", judge("s.n_words", "s.runs", "s.items").alias("found"))
+        s = free_name(docs, "s")
+        one = docs.withColumn(s, _search(spark.sparkContext.broadcast(first))("text"))
+        return one.select(*named(docs), judge(f"{s}.n_words", f"{s}.runs", f"{s}.items").alias("found"))
     # rows are numbered once, in what is written, so that every pass means the same rows
     numbered = saved(docs.select(F.monotonically_increasing_id().alias("id"), packed(docs).alias("row")))
     passes, sizes = [], None

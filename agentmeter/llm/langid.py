@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, once, packed, saved, without
+from .common import forget, free_name, named, once, saved, without
 
 UNKNOWN = "und"
 BEGIN = "▁"  # the vocabulary's sign for the begin of a word
@@ -381,4 +381,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "gain", "likely"]).astype({"gain": "float64", "likely": "boolean"})
 
     own = without(docs, "lang_pred", "score", "gain", "likely")
-    return own.select(packed(own).alias("row"), scored("text").alias("said")).select("row.*", "said.*")
+    said = free_name(own, "said")
+    return own.withColumn(said, scored("text")).select(*named(own), f"{said}.*")
