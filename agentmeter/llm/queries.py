@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, mixing, neardup, pii, quality, tokens, topk, urlfilter
+from . import codes, decontam, langid, lm, mixing, neardup, pii, quality, tokens, topk, trie, urlfilter
 from .common import fold, table
 
 #: Fixed by the contract of op5.
@@ -90,15 +90,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codes.compress(rows).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = {f.__name__: f for f in (op1_quality, op2_topk, op3_langid, op4_lm, op5_urls, op6_neardup, op7_decontam, op8_mixing, op9_tokens, op10_pii)}
+    own = {f.__name__: f for f in (op1_quality, op2_topk, op3_langid, op4_lm, op5_urls, op6_neardup, op7_decontam, op8_mixing, op9_tokens, op10_pii, op11_trie, op12_codes)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op5_urls": OP5_SQL, "op6_neardup": OP6_SQL, "op7_decontam": OP7_SQL}
+    return {"op2_topk": OP2_SQL, "op5_urls": OP5_SQL, "op6_neardup": OP6_SQL, "op7_decontam": OP7_SQL, "op11_trie": OP11_SQL, "op12_codes": OP12_SQL}
 
 
 OP2_SQL = r"""
@@ -149,3 +158,52 @@ r(id, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM
 m AS (SELECT id, min(far) AS component_id FROM r GROUP BY 1)
 SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = id
 """
+
+
+#: Prefixes as digests of their turns; DuckDB has no crc32, which is made bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS t,
+       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+u(c, s, i, x) AS (SELECT DISTINCT c, CAST(c AS VARCHAR), 0, 4294967295::BIGINT FROM o
+       UNION ALL SELECT c, s, i + 1, (SELECT list_reduce(list_prepend(xor(x, ascii(s[i + 1])), range(8)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))) FROM u WHERE i < length(s)),
+h AS (SELECT c, xor(x, 4294967295) % 4 AS h, (SELECT count(*) FROM o WHERE o.c = u.c - u.c % 20) AS bases FROM u WHERE i = length(s)),
+e AS (SELECT h.c, p, t, w FROM h JOIN o ON o.c = h.c - h.c % 20 AND p <= h UNION ALL
+      SELECT h.c, p - h + least(h, bases), t, w FROM h JOIN o ON o.c = h.c AND p > h),
+s AS (SELECT h.c, coalesce(list(t ORDER BY p) FILTER (p IS NOT NULL), []) AS t, coalesce(list(w ORDER BY p) FILTER (p IS NOT NULL), []) AS w FROM h LEFT JOIN e USING (c) GROUP BY h.c),
+m AS (SELECT c, d, sha256(array_to_string(t[1:d], ',')) AS node, sha256(array_to_string(t[1:d - 1], ',')) AS up, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS w, d = len(t) AS last FROM s, unnest(range(0, len(t) + 1)) AS r(d)),
+n AS (SELECT node, d, CASE WHEN d > 0 THEN any_value(up) END AS up, min(c) AS c, count(*) AS n, any_value(w) AS w,
+      sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends FROM m GROUP BY node, d),
+k AS (SELECT up, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+a(node, top) AS (SELECT node, node FROM n UNION ALL SELECT a.node, n.up FROM a JOIN n ON n.node = a.top WHERE n.up IS NOT NULL),
+t AS (SELECT top, count_if(coalesce(kids, 0) = 0) AS leaves, sum((n - 1) * w) AS saved FROM a JOIN n USING (node) LEFT JOIN k ON k.up = a.node GROUP BY top)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.up LEFT JOIN k ON k.up = n.node JOIN t ON t.top = n.node
+"""
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    """Distances as dot products of doubles, exact below 2^53; a round of assignment and update after the other."""
+    steps = [
+        r"""WITH k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, list_slice(v, part * len(v) // 4 + 1, (part + 1) * len(v) // 4) AS v FROM k, range(4) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, v AS c FROM p WHERE r <= 256)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT p.r, p.part, min(struct_pack(d := list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c), e := e)) AS best FROM p JOIN b{i} USING (part) GROUP BY 1, 2)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS (SELECT part, e, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS c FROM (SELECT p.part, best.e AS e, i, sum(CAST(v[i] AS BIGINT)) AS s, count(*) AS n
+       FROM a{i} JOIN p USING (r, part), range(1, 65) AS t(i) WHERE i <= len(v) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} USING (part, e))"""
+            )
+    return ",\n".join(steps) + f""",
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds}),
+f AS (SELECT r, string_agg(lpad(to_hex(best.e), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN f USING (r), s
+"""
+
+
+OP12_SQL = _op12_sql()
