@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, langid, lm, mixing, neardup, pii, quality, tokens, topk, trie, urlfilter
+from . import codes, decontam, langid, lm, mixing, neardup, pii, quality, tokens, topk, toxicity, trie, urlfilter
 from .common import fold, table
 
 #: Fixed by the contract of op5.
@@ -99,10 +99,17 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(rows).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return toxicity.score(docs, labels, ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = {f.__name__: f for f in (op1_quality, op2_topk, op3_langid, op4_lm, op5_urls, op6_neardup, op7_decontam, op8_mixing, op9_tokens, op10_pii, op11_trie, op12_codes)}
+    own = {f.__name__: f for f in (op1_quality, op2_topk, op3_langid, op4_lm, op5_urls, op6_neardup, op7_decontam, op8_mixing, op9_tokens, op10_pii, op11_trie, op12_codes, op13_toxicity)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
