@@ -1,8 +1,8 @@
 """Toxicity: a learned lexicon in a trie, met by the Levenshtein automaton of each word, and scores of what stands around.
 
 The lexicon holds words, and beginnings of words, that labelled toxic documents have and clean ones
-lack: Spark counts the documents of either kind for every word and beginning, a likelihood ratio picks. A
-word of a text is the automaton; its states are rows of edit distances cut at the allowed number of
+lack: Spark counts the documents of either kind for every word and beginning, and the words it stands behind, so that
+copies of a document are no evidence; a likelihood ratio picks. A word of a text is the automaton; its states are rows of edit distances cut at the allowed number of
 edits, and the walk over the trie goes down a branch only while its state can still end in a match.
 What differs from an entry by an edit (two from `two_from` letters on), by signs for letters or by
 letters drawn out counts as its misspelling, unless clean documents hold that very word. How far a
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -248,13 +249,18 @@ def _quoted(text: str, longest: int = 400) -> list[tuple[int, int]]:
     return out
 
 
-def grams(text: str | None, shape: Shape) -> set[str]:
-    """The beginnings and whole words of a text."""
-    out = set()
-    for w in set(_words.findall(text.lower())) if text else ():
-        out.update(w[:n] for n in range(shape.least, min(shape.most, len(w)) + 1))
+def grams(words: list[str], shape: Shape, behind: bool = False) -> dict[str, int]:
+    """The beginnings and whole words of a text, each with the words it stands behind as bits of a mask (0 unless asked for)."""
+    masks: dict[str, int] = dict.fromkeys(words, 0)
+    if behind:
+        for before, w in zip(["", *words], words, strict=False):
+            masks[w] |= 1 << (zlib.crc32(before.encode()) & 63)
+    out: dict[str, int] = defaultdict(int)
+    for w, mask in masks.items():
+        for n in range(shape.least, min(shape.most, len(w)) + 1):
+            out[w[:n]] |= mask
         if shape.least <= len(w) <= shape.longest:
-            out.add(w + END)
+            out[w + END] |= mask
     return out
 
 
@@ -307,21 +313,26 @@ def learn(taught: DataFrame, shape: Shape, least_docs: int = 3, least_ratio: flo
         return Lexicon({}, {}, frozenset(), shape, share)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[Counter, Counter] = Counter(), Counter()  # documents by gram; the words under the empty one
-        rows = lambda: pd.DataFrame([(g, *(c[g] for c in held)) for g in held[0].keys() | held[1].keys()], columns=["gram", "clean", "toxic"])
+        held: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])  # documents by gram, and masks; the words under the empty one
+        rows = lambda: pd.DataFrame([(g, *c[:2], c[2] - (1 << 64) if c[2] >> 63 else c[2]) for g, c in held.items()], columns=["gram", "clean", "toxic", "behind"])
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                held[toxic].update(grams(text, shape))
-                held[toxic][""] += len(_words.findall(text)) if text else 0
-                if sum(map(len, held)) > 300_000:
+                words = _words.findall(text.lower()) if text else []
+                held[""][toxic] += len(words)
+                for g, mask in grams(words, shape, bool(toxic)).items():
+                    own = held[g]
+                    own[toxic] += 1
+                    own[2] |= mask
+                if len(held) > 300_000:
                     yield rows()
-                    held = Counter(), Counter()
+                    held.clear()
         yield rows()
 
     p, q = F.sum("toxic").alias("p"), F.sum("clean").alias("q")
-    tested = taught.mapInPandas(counted, "gram string, clean long, toxic long").groupBy("gram").agg(p, q)
-    # the documents are a bounded sample, and few grams stand in toxic ones so often and so seldom in clean ones
-    is_good = (F.col("p") >= least_docs) & (F.col("p") >= least_precision * (F.col("p") + F.col("q")))
+    tested = taught.mapInPandas(counted, "gram string, clean long, toxic long, behind long").groupBy("gram").agg(p, q, F.bit_or("behind").alias("behind"))
+    # the documents are a bounded sample, and few grams stand in toxic ones so often, so seldom in clean ones and behind many words
+    varied_enough = F.bit_count("behind") >= F.greatest(F.lit(least_docs), F.least("p", F.lit(40)) / 2)
+    is_good = (F.col("p") >= least_docs) & (F.col("p") >= least_precision * (F.col("p") + F.col("q"))) & varied_enough
     good = tested.filter(is_good | (F.col("gram") == "")).orderBy(F.col("gram") != "", F.col("p").desc(), "q", "gram").limit(50 * max_entries).collect()
     words = next(((r.p, r.q) for r in good if not r.gram), (0, 0))
     counts = {r.gram: (r.p, r.q) for r in good if r.gram and ratio(r.p, r.q, pos, neg) >= least_ratio}
