@@ -94,16 +94,27 @@ SCALES = (1, 2, 3, 4, 5, 10, 100, 1000)
 
 
 def written_forms(rows: DataFrame, value: str) -> DataFrame:
-    """rows with scale, places and written: the value over each scale at 0 to 4 places, as it would be printed."""
+    """rows with scale, places and written: the value over each scale at 0 to 4 places, as it would be printed, halves to even.
+
+    Of six places at most, so that eleven places of the quotient tell every half.
+    """
     scaled = rows.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in SCALES])))
-    quotient = F.col(value) / F.col("scale").cast("decimal(6,1)")
-    forms = F.array(*[F.struct(F.lit(p).alias("places"), F.round(quotient, p).cast(f"decimal(18,{p})").cast("string").alias("written")) for p in range(5)])
+    quotient = (F.col(value).cast("decimal(18,6)") / F.col("scale").cast("decimal(4,0)")).cast("decimal(28,11)")
+    forms = F.array(*[F.struct(F.lit(p).alias("places"), F.bround(quotient, p).cast(f"decimal(22,{p})").cast("string").alias("written")) for p in range(5)])
     return scaled.withColumn("f", F.explode(forms)).select("*", "f.*").drop("f")
 
 
 def significant(written: Column) -> Column:
-    """The significant digits of a number as it is written: zeros in front do not count."""
-    return F.length(F.regexp_replace(F.regexp_replace(written, "[^0-9]", ""), "^0+", ""))
+    """The significant digits of a number as it is written, commas aside.
+
+    Zeros in front never count; behind, they count after a point, while those that end a whole number do not, unless it is all zeros.
+    """
+    plain = F.replace(written, F.lit(","), F.lit(""))
+    front = F.regexp_replace(F.substring_index(plain, ".", 1), "^0+", "")
+    part = F.regexp_extract(plain, r"\.(.*)$", 1)
+    inner = F.regexp_replace(plain, "^0+|0+$", "")
+    with_point = F.when(F.length(front) > 0, F.length(front) + F.length(part)).otherwise(F.length(F.regexp_replace(part, "^0+", "")))
+    return F.when(F.contains(plain, F.lit(".")), with_point).when(F.length(inner) > 0, F.length(inner)).otherwise(F.length(plain))
 
 
 def prompt_terms(prompts: DataFrame, key: list[str], stop: tuple[str, ...], most: int = 12, signs: int = 4000) -> DataFrame:

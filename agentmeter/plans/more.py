@@ -102,7 +102,7 @@ def w18(spark: SparkSession, d: str) -> DataFrame:
 def j16(spark: SparkSession, d: str) -> DataFrame:
     e = facade.events(spark, d)
     edge = e.select(F.col("user_id").alias("src"), F.col("k").alias("dst")).distinct()
-    seeds = e.filter("user_id % 5 = 0").select(F.col("user_id").alias("seed"), F.col("user_id").alias("node"))
+    seeds = e.select(F.col("user_id").alias("seed"), F.col("user_id").alias("node"))
     return sourceindex.closure(seeds, edge, 2)
 
 

@@ -107,7 +107,7 @@ BODY = {
         n AS (SELECT id, length(text) AS size, id % 3 AS mtime, md5(text) AS digest FROM t WHERE id % 11 <> 0) SELECT state, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT coalesce(n.id, o.id) AS id, {_STATE} AS state FROM o FULL JOIN n ON o.id = n.id) GROUP BY 1""",
     "w18_chunks": r""", t AS (SELECT doc_id AS id, string_split(text, chr(10)) AS rows FROM documents), c AS (SELECT *, CAST(unnest(range(0, (len(rows) - 1) // 20 + 1)) AS INTEGER) AS chunk FROM t)
         SELECT id, chunk, chunk * 20 + 1 AS lo, CAST(least((chunk + 1) * 20, len(rows)) AS INTEGER) AS hi, md5(array_to_string(rows[chunk * 20 + 1 : (chunk + 1) * 20], chr(10))) AS digest FROM c""",
-    "j16_closure": """, e AS (SELECT DISTINCT user_id AS src, k AS dst FROM ev), s0 AS (SELECT DISTINCT user_id AS seed, user_id AS node, 0 AS depth FROM ev WHERE user_id % 5 = 0), s1 AS (SELECT DISTINCT seed, dst AS node, 1 AS depth FROM s0 JOIN e ON src = node),
+    "j16_closure": """, e AS (SELECT DISTINCT user_id AS src, k AS dst FROM ev), s0 AS (SELECT DISTINCT user_id AS seed, user_id AS node, 0 AS depth FROM ev), s1 AS (SELECT DISTINCT seed, dst AS node, 1 AS depth FROM s0 JOIN e ON src = node),
         s2 AS (SELECT DISTINCT seed, dst AS node, 2 AS depth FROM s1 JOIN e ON src = node) SELECT seed, node, min(depth) AS depth FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY 1, 2""",
     "c23_packed": _RANKED + """, st AS (SELECT key, rank, tokens, CASE WHEN tokens <= 1500 THEN tokens ELSE 0 END AS spent, tokens <= 1500 AS got FROM rk WHERE rank = 1 UNION ALL
         SELECT rk.key, rk.rank, rk.tokens, CASE WHEN st.spent + rk.tokens <= 1500 THEN st.spent + rk.tokens ELSE st.spent END, st.spent + rk.tokens <= 1500 FROM st JOIN rk ON rk.key = st.key AND rk.rank = st.rank + 1) SELECT key, CAST(rank AS INTEGER) AS rank, tokens FROM st WHERE got""",

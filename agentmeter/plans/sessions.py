@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..functions import walk
 from ..functions import rates
 from ..operators import listing, pricing, publishing
 from ..operators.series import micros
@@ -130,10 +131,36 @@ def x24(spark: SparkSession, d: str) -> DataFrame:
 
 def x27(spark: SparkSession, d: str) -> DataFrame:
     """Values as the texts that could show them: quantised at 0 to 4 places, and by the usual scales."""
-    e = facade.events(spark, d).filter("event_id % 10 = 0").select("event_id", F.col("value").cast("decimal(18,6)").alias("value"))
+    e = facade.events(spark, d).filter("value > 0").select("event_id", F.col("value").cast("decimal(18,6)").alias("value"))
     return X.written_forms(e, "value").groupBy("scale", "places").agg(F.count("*").alias("n"), F.countDistinct("written").alias("forms"), F.sum(X.significant(F.col("written"))).alias("digits"))
 
 
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """A summary of every event as JSON of three levels."""
+    e = facade.events(spark, d)
+    inner = F.struct(F.col("value").alias("usd"), F.array(F.col("k"), F.col("k") + 1).alias("spans"))
+    whole = F.struct(F.struct(F.struct(inner.alias("deep")).alias("b")).alias("a"), F.array(F.struct(F.col("event_id").alias("id")), F.struct((-F.col("k")).alias("id"))).alias("list"), F.lit(True).alias("flag"), F.lit("12").alias("text"))
+    return e.select(F.to_json(whole).alias("j"))
+
+
+def s13_walk(spark: SparkSession, d: str) -> DataFrame:
+    n = walk.numbers(nested(spark, d), "j", depth=6)
+    return n.groupBy("path").agg(F.count("*").alias("n"), F.sum("number").cast("double").alias("total"))
+
+
+def usage_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The model tables of the billing snapshots: two models each, some entries bad."""
+    e = facade.checkpoints(spark, d).withColumn("k", F.floor(F.col("reported") / 100000).cast("long"))
+    of = lambda n: F.format_string('{"inputTokens":%d,"outputTokens":"%d","cacheReadInputTokens":%d.75,"costUSD":%d.25}', F.col("k") * n, F.col("k"), F.col("k"), F.col("k") * n)
+    text = F.when(F.col("k") % 11 == 0, F.lit("[1,2]")).when(F.col("k") % 13 == 0, F.lit("{bad")).otherwise(F.format_string('{"m%d":%s,"other":%s,"none":null}', F.col("k") % 3, of(1), of(2)))
+    return e.select("session_id", text.alias("usage"))
+
+
+def a15_usage(spark: SparkSession, d: str) -> DataFrame:
+    u = walk.model_usage(usage_tables(spark, d))
+    return u.select("session_id", "model", "runs", F.col("inputTokens").alias("input"), F.col("outputTokens").alias("output"), F.col("cacheReadInputTokens").alias("cache_read"), F.col("webSearchRequests").alias("searches"), F.col("costUSD").cast("double").alias("usd"))
+
+
 def p19(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).otherwise(F.col("event_type"))
     e = facade.events(spark, d).select(X.error_status(status).alias("status"))
@@ -146,7 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a27_heavy_agents": lambda s, d: listing.heavy_share(facade.tools(s, d), 5, 2), "a31_retrieval": a31, "a34_compactions": a34,
         "a36_top_tool": lambda s, d: listing.top_tool(facade.tools(s, d)), "c10_session_rows": c10, "c25_reprice": c25, "c29_servers": c29,
         "j19_catalog": j19, "o05_listing": o05, "p12_previews": p12, "p14_models": lambda s, d: listing.models(priced(s, d)), "p17_kind_rates": p17,
-        "p19_status": p19, "x12_paths": x12, "x16_tokens": x16, "x21_prompt_terms": x21, "x24_spans": x24, "x27_forms": x27, **more_queries(),
+        "p19_status": p19, "x12_paths": x12, "x16_tokens": x16, "x21_prompt_terms": x21, "x24_spans": x24, "x27_forms": x27, "s13_walk": s13_walk, "a15_usage": a15_usage, **more_queries(),
     }
 
 
@@ -202,10 +229,19 @@ BODY = {
         SELECT conv_id, turn, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first) AS rank FROM c) WHERE rank <= 12""",
     "x24_spans": "SELECT event_id, greatest(1, least(900, least(event_id % 1000, k))) AS lo, greatest(1, least(900, greatest(event_id % 1000, k))) AS hi FROM ev",
 }
-#: The forms of a number in SQL: one branch a scale and place.
-BODY["x27_forms"] = ", f AS (" + " UNION ALL ".join(
-    f"SELECT {s} AS scale, {p} AS places, CAST(round(CAST(value AS DECIMAL(18,6)) / {s}.0::DECIMAL(6,1), {p})::DECIMAL(18,{p}) AS VARCHAR) AS written FROM ev WHERE event_id % 10 = 0" for s in X.SCALES for p in range(5)
-) + ") SELECT scale, places, count(*) AS n, count(DISTINCT written) AS forms, CAST(sum(length(ltrim(replace(replace(written, '.', ''), '-', ''), '0'))) AS BIGINT) AS digits FROM f GROUP BY 1, 2"
+BODY["s13_walk"] = """, w AS (SELECT unnest(['$.a.b.deep.usd', '$.a.b.deep.spans[0]', '$.a.b.deep.spans[1]', '$.list[0].id', '$.list[1].id']) AS path, unnest([value, k, k + 1, event_id, -k]) AS v FROM ev)
+    SELECT path, count(v) AS n, CAST(sum(CAST(v AS DECIMAL(28,12))) AS DOUBLE) AS total FROM w WHERE v IS NOT NULL GROUP BY 1"""
+BODY["a15_usage"] = """, c AS (SELECT user_id AS session_id, k FROM ev WHERE event_id % 40 = 0 AND k % 11 <> 0 AND k % 13 <> 0),
+    m AS (SELECT session_id, 'm' || CAST(k % 3 AS VARCHAR) AS model, k, 1 AS n FROM c UNION ALL SELECT session_id, 'other', k, 2 FROM c)
+    SELECT session_id, model, count(*) AS runs, CAST(sum(k * n) AS BIGINT) AS input, CAST(sum(k) AS BIGINT) AS output, CAST(sum(k) AS BIGINT) AS cache_read, 0::BIGINT AS searches, CAST(sum(k * n + 0.25) AS DOUBLE) AS usd FROM m GROUP BY 1, 2"""
+#: The forms of a number in SQL, in whole numbers: v millionths over a scale, halves to even.
+BODY["x27_forms"] = f""", v AS (SELECT CAST(CAST(value AS DECIMAL(18,6)) * 1000000 AS BIGINT) AS v FROM ev WHERE value > 0),
+    d AS (SELECT v, scale, places, CAST(scale * pow(10, 6 - places) AS BIGINT) AS d FROM v, unnest({list(X.SCALES)}) AS s(scale), range(5) AS p(places)),
+    q AS (SELECT scale, places, v // d + CASE WHEN 2 * (v % d) > d OR (2 * (v % d) = d AND (v // d) % 2 = 1) THEN 1 ELSE 0 END AS q FROM d),
+    w AS (SELECT scale, places, CAST(pow(10, places) AS BIGINT) AS t, q FROM q),
+    f AS (SELECT scale, places, CAST(q // t AS VARCHAR) AS a, CASE WHEN places > 0 THEN lpad(CAST(q % t AS VARCHAR), CAST(places AS INTEGER), '0') ELSE '' END AS b FROM w)
+    SELECT CAST(scale AS INTEGER) AS scale, CAST(places AS INTEGER) AS places, count(*) AS n, count(DISTINCT a || '.' || b) AS forms,
+    CAST(sum(CASE WHEN places > 0 THEN CASE WHEN a = '0' THEN length(ltrim(b, '0')) ELSE length(a) + length(b) END ELSE greatest(1, length(trim(a, '0'))) END) AS BIGINT) AS digits FROM f GROUP BY 1, 2"""
 
 
 # --- publishing

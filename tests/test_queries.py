@@ -8,7 +8,7 @@ import pytest
 
 from agentmeter.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "events documents benchmark pages conversations"
 
 

@@ -137,7 +137,7 @@ def test_scalar_rules(spark):
     ).collect()
     assert [x.p for x in r] == ["git", "python3", "ls"] and [x.n for x in r] == ["/a/c", "../../y", "/"]
     assert r[0].t == ["src/a.py", "lib/b.ts", "README.md"] and [(x.lo, x.hi) for x in r] == [(5, 10), (None, None), (7, 7)]
-    assert [x.s for x in r] == [3, 2, 3] and r[0].b == "two three two" and r[0].c == ["b_1"]
+    assert [x.s for x in r] == [3, 2, 1] and r[0].b == "two three two" and r[0].c == ["b_1"]
 
 
 def test_journals(spark, tmp_path):
@@ -181,3 +181,44 @@ def test_alert_ladder(spark):
     got = alerts.alerts(spark.createDataFrame(rows, "session_id string, prompt long, share double, reread string")).orderBy("prompt").collect()
     # urgent at 2, silent at 3, again at 4, silent at 5 and 6, again at 7; another kind at 8 starts the ladder anew
     assert [(r.prompt, r.level) for r in got] == [(1, "hint"), (2, "urgent"), (4, "urgent"), (7, "urgent"), (8, "nudge"), (9, "urgent"), (11, "reread:a.py"), (13, "warn")]
+
+
+def test_figures_are_written_half_even(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from agentmeter.functions import columns as X
+
+    values = ["0.125", "0.135", "2.5", "7.000005", "1000", "12.345678", "0.00005"]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select("t", F.col("t").cast("decimal(18,6)").alias("v"))
+    for r in X.written_forms(rows, "v").collect():
+        assert r.written == format((Decimal(r.t) / r.scale).quantize(Decimal(1).scaleb(-r.places)), "f"), r
+    want = {"100": 1, "1000": 1, "1050": 3, "1,234": 4, "0.00120": 3, "12.50": 4, "000": 3, "0": 1, "0.0": 0, "5": 1}
+    got = spark.createDataFrame([(x,) for x in want], "n string").select("n", X.significant(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == want
+
+
+def test_walk_of_nested_json(spark):
+    from decimal import Decimal
+
+    from agentmeter.functions import walk
+
+    deep = '{"x":' * 12 + "7" + "}" * 12
+    rows = [(1, '{"a":{"b":[1,{"c":2.50},[true,"3",null,4e2]]},"d":-0.000000000001,"e":{},"f":[]}'), (2, "12"), (3, "{bad"), (4, None), (5, deep), (6, '[[[["t"]]]]'), (7, '{"big":12345678901234567890123.5}')]
+    df = spark.createDataFrame(rows, "id long, j string")
+    got = sorted((r.id, r.path, r.number) for r in walk.numbers(df, "j").collect())
+    D = Decimal
+    assert got == [(1, "$.a.b[0]", D(1)), (1, "$.a.b[1].c", D("2.5")), (1, "$.a.b[2][3]", D(400)), (1, "$.d", D("-0.000000000001")), (2, "$", D(12)), (5, "$" + ".x" * 12, D(7)), (7, "$.big", D("12345678901234567890123.5"))]
+    shallow = walk.leaves(df.filter("id = 5"), "j", depth=3).first()
+    assert (shallow.path, shallow.kind) == ("$.x.x.x", "object")
+    assert walk.numbers(df.filter("false"), "j").count() == 0
+
+
+def test_usage_of_many_models(spark):
+    from agentmeter.functions import walk
+
+    rows = [("s", '{"m":{"inputTokens":5,"costUSD":0.1},"n":{"outputTokens":"7","thinkingTokens":true}}'), ("s", '{"m":{"inputTokens":2.9,"costUSD":"0.2"},"bad":[1],"n":null}'), ("t", "[]"), ("t", "{"), ("t", None)]
+    got = {(r.session_id, r.model): r for r in walk.model_usage(spark.createDataFrame(rows, "session_id string, usage string")).collect()}
+    assert set(got) == {("s", "m"), ("s", "n")}
+    assert (got["s", "m"].runs, got["s", "m"].inputTokens, float(got["s", "m"].costUSD)) == (2, 7, 0.3) and (got["s", "n"].outputTokens, got["s", "n"].thinkingTokens) == (7, 0)
