@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import rates
-from ..operators import advice, marts, pricing, privacy, rereads, search, series
+from ..operators import advice, marts, pricing, privacy, rereads, search, searchindex, series
 from ..sources import facade, transcripts
 from . import more, more_sql, oracle, sessions
 
@@ -100,6 +100,37 @@ def c20(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(t, q, weights={"source": 3.0, "text": 1.0}).select("query_id", "rank", "id", "score")
 
 
+def code_files(spark: SparkSession, d: str, old: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The documents as files: a listing, and their chunks; old: as they were before, some fewer and some shorter."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    if old:
+        t = t.filter("id % 7 <> 0").withColumn("text", F.when(F.col("id") % 5 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")))
+    mtime = F.when(F.col("id") % 4 == 0, F.lit(9 if old else 8)).otherwise(F.col("id") % 3)
+    path = F.concat("source", F.lit("/doc_"), F.col("id").cast("string"), F.lit(".txt"))
+    listing = t.select("id", F.octet_length("text").alias("size"), mtime.cast("long").alias("mtime"), path.alias("path"), "lang")
+    return listing, t.select("id", F.lit(0).alias("chunk"), F.col("lang").alias("symbol"), F.substring_index("text", "\n", 1).alias("heading"), F.col("text").alias("body"))
+
+
+def kept_index(spark: SparkSession, d: str) -> searchindex.SearchIndex:
+    """An index of the documents as they were, brought up to date."""
+    index = searchindex.SearchIndex(spark, searchindex.scratch(spark, "index"))
+    for old in (True, False):
+        listing, chunks = code_files(spark, d, old)
+        index.update(listing, lambda ids, chunks=chunks: chunks.join(ids, "id"))
+    return index
+
+
+def c20_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item asked of the kept index."""
+    q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return kept_index(spark, d).search(q, 10).select("query_id", "rank", "id", "score")
+
+
+def c18_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What both runs of the kept index did."""
+    return kept_index(spark, d).runs().select("gen", "scanned", "asked", "indexed", "touched", "removed", "chunks", "length")
+
+
 def t03(spark: SparkSession, d: str) -> DataFrame:
     """The live totals of a replay in three segments equal one batch's."""
     from ..streaming import live
@@ -127,7 +158,7 @@ def queries() -> dict[str, Query]:
         "a03_totals": on(marts.totals), "a04_by_model": on(marts.by_model), "a05_by_origin": on(marts.by_origin), "a06_by_tool": tools(marts.by_tool),
         "a07_by_turn": on(series.by_turn, facade.prompts), "a08_agents": on(marts.by_agent), "a09_agent_types": on(marts.by_agent_type), "a10_cache": on(marts.cache),
         "a11_waste": on(marts.waste, facade.tools), "a12_redundant": tools(marts.redundant), "a13_primary_model": on(marts.primary_model), "a18_reread_reasons": a18,
-        "a22_daily_rollup": on(marts.daily), "a37_bounds": on(marts.bounds), "c06_settle": c06, "c12_audit": lambda s, d: privacy.findings(texts(s, d)), "c13_scrub": c13, "c20_bm25": c20,
+        "a22_daily_rollup": on(marts.daily), "a37_bounds": on(marts.bounds), "c06_settle": c06, "c12_audit": lambda s, d: privacy.findings(texts(s, d)), "c13_scrub": c13, "c20_bm25": c20, "c20_kept": c20_kept, "c18_runs": c18_runs,
         "j04_asof": lambda s, d: series.asof_turn(facade.calls(s, d), facade.prompts(s, d)).select("request_id", "turn_id"), "j11_overlap": j11, "o03_topk": on(series.top_calls),
         "t03_live": t03, "u03_except": u03, "w04_cumulative": on(series.cumulative), "w05_thinned": on(series.thinned), "w08_growth": on(series.growth, facade.prompts),
         "w09_carry": w09, "w10_rereads": w10, "c08_ledger": c08, "a19_corpus_rereads": lambda s, d: rereads.corpus(ledger(s, d)), "a18_summary": lambda s, d: rereads.summary(ledger(s, d)), "w07_contexts": w07, "w11_islands": lambda s, d: rereads.islands(facade.tools(s, d).filter("name = 'Read'")), "w12_runs": on(series.runs),

@@ -22,6 +22,16 @@ def costs(spark: SparkSession, d: str) -> DataFrame:
     return billing.authoritative(priced(spark, d), runs(spark, d))
 
 
+def t07(spark: SparkSession, d: str) -> DataFrame:
+    """Live dollars over a replay in three parts, each with requests before and after the snapshots that bill them."""
+    from ..operators.searchindex import scratch
+    from ..streaming import live
+
+    all_ = live.lines(priced(spark, d), facade.checkpoints(spark, d))
+    parts = [all_.filter(F.pmod(F.xxhash64("kind", "ord"), F.lit(3)) == i) for i in range(3)]
+    return live.dollars(live.drained_dollars(parts, scratch(spark, "live"), late="36500 days"))
+
+
 def a14(spark: SparkSession, d: str) -> DataFrame:
     r = runs(spark, d)
     return r.select("session_id", micros(F.col("run_start")).alias("run_us"), "ord", (F.col("reported").cast("double") / 1e6).alias("usd"), micros(F.col("billed_ts")).alias("billed_us"))
@@ -167,7 +177,7 @@ def c16(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "a14_runs": a14, "a16_coverage": lambda s, d: billing.coverage(priced(s, d), runs(s, d)), "c02_reconcile": costs, "j09_model_gap": lambda s, d: billing.model_gap(priced(s, d), runs(s, d)),
+        "a14_runs": a14, "a16_coverage": lambda s, d: billing.coverage(priced(s, d), runs(s, d)), "c02_reconcile": costs, "t07_live_dollars": t07, "j09_model_gap": lambda s, d: billing.model_gap(priced(s, d), runs(s, d)),
         "a24_provenance": lambda s, d: billing.provenance(costs(s, d)), "c03_findings": lambda s, d: advice.findings(facts(s, d)), "c04_levers": levers, "c05_combined": lambda s, d: advice.combined(levers(s, d)),
         "a33_corpus_levers": lambda s, d: advice.corpus(levers(s, d)), "c07_turn_residency": lambda s, d: advice.turn_residency(series.by_turn(priced(s, d), facade.prompts(s, d))),
         "j07_bracket": bracket, "c11_accounts": c11, "a25_account_rollup": a25, "a26_sources": lambda s, d: accounts.source_counts(attributed(s, d)), "w21_labels": w21,

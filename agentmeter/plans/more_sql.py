@@ -71,6 +71,7 @@ BODY = {
     "a14_runs": _BILL + "SELECT session_id, epoch_us(run_start) AS run_us, ord, CAST(reported AS DOUBLE) / 1e6 AS usd, epoch_us(billed_ts) AS billed_us FROM runs",
     "a16_coverage": _BILL + "SELECT session_id, place, count(*) AS calls, count(*) FILTER (origin = 'main') AS main_calls, CAST(sum(m_total) AS DOUBLE) / 1e6 AS usd FROM placed GROUP BY 1, 2",
     "c02_reconcile": _BILL + "SELECT * FROM agreed",
+    "t07_live_dollars": _BILL + "SELECT * FROM agreed",
     "j09_model_gap": _BILL + """, a AS (SELECT session_id, model_key, sum(m_total) AS m FROM priced GROUP BY 1, 2), b AS (SELECT session_id, model_key, sum(reported) AS r FROM runs GROUP BY 1, 2)
         SELECT session_id, model_key, CAST(m AS DOUBLE) / 1e6 AS computed_usd, CAST(r AS DOUBLE) / 1e6 AS reported_usd, m IS NOT NULL AS in_transcript, coalesce(CAST(r AS DOUBLE) / 1e6, 0) - coalesce(CAST(m AS DOUBLE) / 1e6, 0) AS delta_usd FROM a FULL JOIN b USING (session_id, model_key)""",
     "a24_provenance": _BILL + "SELECT source, count(*) AS sessions, round(sum(usd), 6) AS usd, bool_or(source <> 'reported') AS estimate, CASE source WHEN 'reported' THEN 'billed' WHEN 'mixed' THEN 'billed+measured' ELSE 'measured' END AS label FROM agreed GROUP BY 1",

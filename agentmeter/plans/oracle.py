@@ -77,6 +77,33 @@ carried AS (SELECT reads.*, (SELECT count(*) FROM cw WHERE cw.session_id = reads
 ledger AS (SELECT carried.*, bytes / 4.0::DOUBLE AS tokens, bytes / 4.0::DOUBLE * (r5 + n * rr) / 1e6 AS carry_usd, bytes / 4.0::DOUBLE * 0.126::DOUBLE / 1000 AS calibrated_usd FROM carried JOIN pr USING (session_id))
 """
 
+
+
+def _ident(w: str) -> str:
+    """An identifier's parts: itself, those at _ and -, those that capitals and digits set off."""
+    camel = rf"regexp_extract_all(regexp_replace({w}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+')"
+    long = "lambda x: length(x) > 1"
+    return f"list_concat([lower({w})], CASE WHEN regexp_matches({w}, '[_-]') THEN list_filter(regexp_split_to_array(lower({w}), '[_-]+'), {long}) ELSE [] END, list_filter(list_transform({camel}, lambda x: lower(x)), {long}))"
+
+
+def _tokens(old: bool, x: str) -> str:
+    """CTEs d, w (id, word, x) and l (id, len), with x behind their names, of the kept index's files."""
+    text = "CASE WHEN doc_id % 5 = 0 THEN substring(coalesce(text, ''), 1, 20) ELSE coalesce(text, '') END" if old else "coalesce(text, '')"
+    fields = {"path": 3.0, "symbol": 8.0, "heading": 4.0, "body": 1.0}
+    each = " UNION ALL ".join(f"SELECT id, unnest(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+')) AS word, {v}::DOUBLE AS x FROM d{x}" for f, v in fields.items())
+    return rf""", d{x} AS (SELECT id, path, symbol, string_split(body, chr(10))[1] AS heading, body FROM
+            (SELECT doc_id AS id, coalesce(source, '') || '/doc_' || doc_id || '.txt' AS path, coalesce(lang, '') AS symbol, {text} AS body FROM documents {"WHERE doc_id % 7 <> 0" if old else ""})),
+        i{x} AS (SELECT id, w, min(i) AS i FROM (SELECT id, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS i FROM (SELECT id, regexp_extract_all(body || ' ' || symbol || ' ' || path, '[A-Za-z_][A-Za-z0-9_]{{1,63}}') AS x FROM d{x})) GROUP BY 1, 2),
+        p{x} AS (SELECT id, p, min(i * 1000 + j) AS o FROM (SELECT id, i, unnest(x) AS p, unnest(range(1, len(x) + 1)) AS j FROM (SELECT id, i, {_ident("w")} AS x FROM i{x})) GROUP BY 1, 2),
+        t{x} AS (SELECT id, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS r FROM p{x}) WHERE r <= 320),
+        w{x} AS MATERIALIZED ({each} UNION ALL SELECT id, unnest(regexp_extract_all(p, '[\p{{L}}\p{{N}}]+')), 1.5 FROM t{x}), l{x} AS (SELECT d.id, count(w.word) AS len FROM d{x} d LEFT JOIN w{x} w USING (id) GROUP BY 1)"""
+
+
+_RUNS = _tokens(True, "1") + _tokens(False, "2") + """,
+        m AS (SELECT a.id, b.id IS NULL AS added, b.id IS NOT NULL AND (a.body <> b.body) AS changed, a.id % 4 = 0 AS later FROM d2 a LEFT JOIN d1 b USING (id))
+        SELECT 1::BIGINT AS gen, count(*) AS scanned, count(*) AS asked, count(*) AS indexed, 0::BIGINT AS touched, 0::BIGINT AS removed, count(*) AS chunks, CAST(sum(len) AS BIGINT) AS length FROM l1
+        UNION ALL SELECT 2, count(*), count_if(added OR changed OR later), count_if(added OR changed), count_if(later AND NOT added AND NOT changed), 0, count(*), (SELECT CAST(sum(len) AS BIGINT) FROM l2) FROM m"""
+
 BODY = {
     "a01_requests": "SELECT session_id, request_id, model, output_tokens + request_id % 3 * 10 AS output_tokens, request_id % 3 + 1 AS lines, origin FROM calls",
     "c01_price": "SELECT request_id, model_key, tier, unpriced, context_tokens, " + ", ".join(f"CAST(m_{k} AS DOUBLE) / 1e6 AS usd_{k}" for k in ("input", "output", "cw5", "cw1", "read", "search", "total")) + " FROM priced",
@@ -103,6 +130,17 @@ BODY = {
         SELECT session_id, model_key, headline, CAST(q + CASE WHEN row_number() OVER (PARTITION BY session_id ORDER BY m DESC, model_key) = 1 THEN headline - sum(q) OVER (PARTITION BY session_id) ELSE 0 END AS BIGINT) AS part FROM p""",
     "c12_audit": "SELECT id, kind, severity, sample, count(*) AS n, min(at_) AS first FROM (SELECT id, kind, severity, sample, CAST(strpos(text, sample) - 1 AS BIGINT) AS at_ FROM (" + " UNION ALL ".join(_FOUND) + ")) GROUP BY ALL",
     "c13_scrub": f"SELECT id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id AS id, {_scrub} AS t FROM documents)",
+    "c20_kept": _tokens(False, "") + r""", s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+        q0 AS (SELECT item_id AS query_id, i, regexp_replace(w, '^[-./]+|[-./]+$', '', 'g') AS w FROM (SELECT item_id, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9_./$-]{2,}') AS x FROM benchmark))),
+        q1 AS (SELECT query_id, i, unnest(x) AS p, unnest(range(1, len(x) + 1)) AS j FROM (SELECT query_id, i, """ + _ident("w") + r""" AS x FROM q0)),
+        q2 AS (SELECT query_id, p, min(i * 1000 + j) AS o FROM q1 WHERE regexp_full_match(p, '[a-z0-9]{2,}') GROUP BY 1, 2),
+        q3 AS (SELECT query_id, o, 0 AS j, p AS key FROM q2 UNION ALL SELECT query_id, o, 1, p || '*' FROM q2 WHERE length(p) >= 4),
+        q AS (SELECT query_id, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, j) AS r FROM q3) WHERE r <= 80), keys AS (SELECT DISTINCT key FROM q),
+        k AS (SELECT word, key FROM (SELECT DISTINCT word FROM w) JOIN keys ON key = word UNION SELECT word, key FROM (SELECT DISTINCT word FROM w) JOIN keys ON ends_with(key, '*') AND starts_with(word, key[:-2])),
+        tf AS (SELECT id, key, sum(x) AS tf FROM (SELECT id, word, sum(x) AS x FROM w GROUP BY 1, 2) JOIN k USING (word) GROUP BY 1, 2), f AS (SELECT key, count(*) AS df FROM tf GROUP BY 1),
+        r AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (key) JOIN f USING (key) JOIN l USING (id), s GROUP BY 1, 2)
+        SELECT query_id, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) WHERE rank <= 10""",
+    "c18_runs": _RUNS,
     "c20_bm25": f""", d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(source, '')), '{TERM}') AS a, regexp_extract_all(lower(coalesce(text, '')), '{TERM}') AS b FROM documents),
         s AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS mean FROM d),
         w AS (SELECT id, len, unnest(a) AS w, 3.0::DOUBLE AS x FROM (SELECT *, len(a) + len(b) AS len FROM d) UNION ALL SELECT id, len, unnest(b), 1.0 FROM (SELECT *, len(a) + len(b) AS len FROM d)),

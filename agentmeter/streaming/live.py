@@ -113,3 +113,212 @@ def live_rows(stream: DataFrame, idle_s: int = 300, late: str = "10 minutes") ->
     rows = stream.select("session_id", "request_id", "output_tokens", "tool_use_id", "ts").withWatermark("ts", late)
     schema = f"session_id {dict(stream.dtypes)['session_id']}, calls long, output_tokens long, tools long, last_us long, final boolean"
     return rows.groupBy("session_id").transformWithStateInPandas(Totals(idle_s), schema, "Update", "EventTime")
+
+
+#: Dollars in state are whole hundred-thousandths of a millionth, the places of a price.
+UNIT = 100_000
+#: A run's first request may be stamped before the run's own start.
+LEAD_US = 120_000_000
+
+
+class Dollars(StatefulProcessor):
+    """The dollars of a session against billing snapshots that may come before or long after the requests.
+
+    State of a session: each request's best snapshot; the dollars at each instant; the latest checkpoint of each run; totals with
+    two edges. A larger snapshot takes back what the smaller one gave. What lies before the left edge or after the right one
+    is beyond the checkpoints; a request falls to its side at once, and when an edge moves (another checkpoint, or a main
+    request that one of them bills) the instants are added up anew. So any split into batches ends in the same rows.
+
+    Rows name the file's epoch (it grows when a file is cut short or replaced) and the catalog's version: a
+    higher pair takes the place of all that is held, rows of a lower one are too late and fall away. A session
+    quiet for idle_s gets a row with final; its state stays, so that it may go on, until forget_s have
+    passed: then requests give up their snapshots and the totals stay, and what still comes is new.
+    """
+
+    def __init__(self, idle_s: int = 300, forget_s: int = 7 * 86_400):
+        self.idle_us, self.forget_us = idle_s * 1_000_000, forget_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getMapState("best", "request_id long", "output_tokens long, units long, ts_us long, main boolean")
+        self.instants = handle.getMapState("instants", "ts_us long", "units long, calls long")
+        self.runs = handle.getMapState("runs", "run_us long", "duration long, ord long, units long, billed_us long")
+        self.total = handle.getValueState("total", "epoch long, version long, calls long, units long, last_us long, last_main_us long, lo_us long, mark_us long, early long, late long, reported long, kept_us long")
+
+    def _clear(self) -> None:
+        for state in (self.best, self.instants, self.runs, self.total):
+            state.clear()
+
+    def _put(self, units: int, ts: int, calls: int) -> None:
+        was = self.instants.getValue((ts,)) if self.instants.containsKey((ts,)) else (0, 0)
+        now = (int(was[0]) + units, int(was[1]) + calls)
+        if now == (0, 0):
+            self.instants.removeKey((ts,))
+        else:
+            self.instants.updateValue((ts,), now)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        names = ("epoch", "version", "calls", "units", "last_us", "last_main_us", "lo_us", "mark_us", "early", "late", "reported", "kept_us")
+        t = dict(zip(names, self.total.get(), strict=True)) if self.total.exists() else None
+        is_new, moved = t is None, False
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                name = (int(r.epoch), int(r.version))
+                if t is None or name > (t["epoch"], t["version"]):
+                    self._clear()
+                    t = dict.fromkeys(names, 0) | {"epoch": name[0], "version": name[1], "lo_us": None, "mark_us": None, "last_main_us": None, "reported": None}
+                elif name < (t["epoch"], t["version"]):
+                    continue
+                moved |= self._checkpoint(r) if r.kind == "checkpoint" else self._request(r, t)
+        if moved:
+            self._edges(t)
+        self.total.update(tuple(t[n] for n in names))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((t["last_us"] + self.idle_us) // 1000)
+        yield self._row(key, t, is_new, False)
+
+    def _checkpoint(self, r: Any) -> bool:
+        run, new = (int(r.run_us),), (int(r.duration), int(r.ord))
+        if self.runs.containsKey(run):
+            was = self.runs.getValue(run)
+            if (int(was[0]), int(was[1])) >= new:
+                return False
+        self.runs.updateValue(run, (*new, int(r.units), None))
+        return True
+
+    def _request(self, r: Any, t: dict) -> bool:
+        """Takes a snapshot in; whether an edge may have moved."""
+        rid, n, ts, units, main = (int(r.ord),), int(r.output_tokens), int(r.ts.value // 1000), int(r.units), bool(r.main)
+        moved = False
+        if self.best.containsKey(rid):
+            out, old_units, old_ts, old_main = self.best.getValue(rid)
+            if (n, -ts) <= (int(out), -int(old_ts)):
+                return False
+            self._side(t, -int(old_units), int(old_ts))
+            self._put(-int(old_units), int(old_ts), -1)
+            t["units"] -= int(old_units)
+            t["calls"] -= 1
+            moved = bool(old_main) or main
+        self.best.updateValue(rid, (n, units, ts, main))
+        self._put(units, ts, 1)
+        self._side(t, units, ts)
+        t["units"] += units
+        t["calls"] += 1
+        t["last_us"] = max(t["last_us"], ts)
+        if main:
+            # behind what every run billed it can only open the right edge, which is read from the last main request
+            t["last_main_us"] = max(ts, t["last_main_us"] or ts)
+            moved |= any(rid[0] <= int(v[1]) for _, v in self.runs.iterator())
+        return moved
+
+    @staticmethod
+    def _side(t: dict, units: int, ts: int) -> None:
+        if t["lo_us"] is not None and ts < t["lo_us"]:
+            t["early"] += units
+        elif t["mark_us"] is not None and ts > t["mark_us"]:
+            t["late"] += units
+
+    def _edges(self, t: dict) -> None:
+        """Both edges and what lies beyond them, from what is held."""
+        runs = [(int(k[0]), v) for k, v in self.runs.iterator()]
+        mains = [(int(k[0]), int(v[2])) for k, v in self.best.iterator() if v[3]]
+        marks = [max((ts for rid, ts in mains if rid <= int(v[1])), default=None) for _, v in runs]
+        marks = [m for m in marks if m is not None]
+        t["last_main_us"] = max((ts for _, ts in mains), default=None)
+        t["lo_us"] = min((k for k, _ in runs), default=None)
+        t["lo_us"] = None if t["lo_us"] is None else t["lo_us"] - LEAD_US
+        t["mark_us"] = max(marks, default=None)
+        t["reported"] = sum(int(v[2]) for _, v in runs) if runs else None
+        t["early"] = t["late"] = 0
+        for k, v in self.instants.iterator():
+            self._side(t, int(v[0]), int(k[0]))
+
+    def _row(self, key: tuple, t: dict, is_new: bool, final: bool) -> pd.DataFrame:
+        # without a main request behind the mark the right edge falls away
+        late = t["late"] if t["mark_us"] is not None and t["last_main_us"] is not None and t["last_main_us"] > t["mark_us"] else 0
+        beyond = t["units"] if t["reported"] is None else t["early"] + late
+        row = {"session_id": key[0], "epoch": t["epoch"], "version": t["version"], "calls": t["calls"], "computed": t["units"], "beyond": beyond, "reported": t["reported"], "last_us": t["last_us"], "is_new": is_new, "final": final}
+        return pd.DataFrame([row]).astype({"reported": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        names = ("epoch", "version", "calls", "units", "last_us", "last_main_us", "lo_us", "mark_us", "early", "late", "reported", "kept_us")
+        t = dict(zip(names, self.total.get(), strict=True))
+        if t["kept_us"] == t["last_us"]:  # the second timer since it last spoke
+            self.best.clear()
+            return
+        t["kept_us"] = t["last_us"]
+        self.total.update(tuple(t[n] for n in names))
+        self.handle.registerTimer((t["last_us"] + self.forget_us) // 1000)
+        yield self._row(key, t, False, True)
+
+    def close(self) -> None:
+        pass
+
+
+LINES = "session_id {}, epoch long, version long, kind string, ord long, output_tokens long, units long, main boolean, ts timestamp, run_us long, duration long"
+
+
+def lines(priced: DataFrame, checkpoints: DataFrame, epoch: int = 0, version: int = 0) -> DataFrame:
+    """Requests with their price and checkpoints in one table, as `live_dollars` reads them."""
+    name = [F.lit(epoch).cast("long").alias("epoch"), F.lit(version).cast("long").alias("version")]
+    no = lambda kind: F.lit(None).cast(kind)
+    ts = F.col("ts").cast("timestamp").alias("ts")
+    asked = priced.select("session_id", *name, F.lit("request").alias("kind"), F.col("request_id").cast("long").alias("ord"), F.col("output_tokens").cast("long").alias("output_tokens"), (F.col("m_total") * UNIT).cast("long").alias("units"), (F.col("origin") == "main").alias("main"), ts, no("long").alias("run_us"), no("long").alias("duration"))
+    run = F.unix_micros(F.col("run_start").cast("timestamp")).alias("run_us")
+    at = F.timestamp_micros(F.unix_micros(F.col("run_start").cast("timestamp")) + F.col("duration")).alias("ts")
+    told = checkpoints.select("session_id", *name, F.lit("checkpoint").alias("kind"), F.col("ord").cast("long").alias("ord"), no("long").alias("output_tokens"), (F.col("reported") * UNIT).cast("long").alias("units"), F.lit(False).alias("main"), at, run, F.col("duration").cast("long").alias("duration"))
+    return asked.unionByName(told)
+
+
+def live_dollars(stream: DataFrame, idle_s: int = 300, forget_s: int = 7 * 86_400, late: str = "10 minutes") -> DataFrame:
+    """A row of a session whenever it changes: calls, computed, beyond (what no checkpoint covers), reported, in UNITs of micro-USD; is_new, final.
+
+    stream: LINES. Spark drops rows whose ts lies further behind the newest than `late`: a replay in any order sets it beyond its span.
+    """
+    rows = stream.withWatermark("ts", late)
+    schema = f"session_id {dict(stream.dtypes)['session_id']}, epoch long, version long, calls long, computed long, beyond long, reported long, last_us long, is_new boolean, final boolean"
+    return rows.groupBy("session_id").transformWithStateInPandas(Dollars(idle_s, forget_s), schema, "Update", "EventTime")
+
+
+def dollars(newest: DataFrame) -> DataFrame:
+    """The rows of `live_dollars` in the terms of the batch reconciliation: what counts, where it comes from, how well both agree."""
+    usd = lambda c: (F.col(c).cast("decimal(28,0)") * F.lit("0.00001").cast("decimal(6,5)")).cast("double") / 1e6
+    g = newest.select("session_id", usd("reported").alias("reported_usd"), usd("computed").alias("computed_usd"), (usd("computed") - usd("beyond")).alias("covered_usd"), usd("beyond").alias("open_usd"))
+    none = F.col("reported_usd").isNull()
+    drift = F.expr("abs(reported_usd - covered_usd) / nullif(reported_usd, 0)")
+    g = g.withColumn("usd", F.when(none, F.col("computed_usd")).otherwise(F.col("reported_usd") + F.col("open_usd")))
+    g = g.withColumn("source", F.when(none, "computed").when(F.col("open_usd") > 0, "mixed").otherwise("reported"))
+    return g.withColumn("status", F.when(none, "unavailable").when(F.col("open_usd") > 0.05 * F.col("computed_usd"), "partial").when(drift <= 0.02, "ok").otherwise("drift"))
+
+
+#: What the streams need of a session while they run: state that may outgrow memory.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drained_dollars(segments: list[DataFrame], folder: str, partitions: int = 8, **settings: Any) -> DataFrame:
+    """Each session's newest row after a stream over the segments, a batch each, written under `folder`; partitions: of the state."""
+    spark = segments[0].sparkSession
+    own = _STATE | {"spark.sql.shuffle.partitions": str(partitions)}
+    was = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        for i, part in enumerate(segments):
+            part.write.mode("append").parquet(f"{folder}/in")
+            stream = dollars_stream(spark, f"{folder}/in", part.schema, **settings)
+
+            def keep(batch: DataFrame, epoch: int) -> None:
+                batch.withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/of={epoch}")
+
+            stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.parquet(f"{folder}/out")
+    rest = [c for c in out.columns if c not in ("session_id", "of")]
+    return out.groupBy("session_id").agg(F.max_by(F.struct(*rest), F.struct("batch", ~F.col("final"))).alias("r")).select("session_id", "r.*")
+
+
+def dollars_stream(spark: SparkSession, path: str, schema: Any, **settings: Any) -> DataFrame:
+    return live_dollars(spark.readStream.schema(schema).parquet(path), **settings)

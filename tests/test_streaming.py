@@ -48,3 +48,55 @@ def test_windows_and_runs(spark, tmp_path):
     src = tmp_path / "w" / "in"
     runs = live.session_runs(spark.read.schema(SNAPS).parquet(str(src)))
     assert sorted((r.session_id, r.calls) for r in runs.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+TABLE = "session_id string, epoch long, version long, kind string, ord long, output_tokens long, units long, main boolean, ts timestamp, run_us long, duration long"
+
+
+def ask(s, ord_, out, units, sec, main=True, epoch=0, version=0):
+    return (s, epoch, version, "request", ord_, out, units, main, at(sec), None, None)
+
+
+def bill(s, ord_, units, run_sec, duration, epoch=0, version=0):
+    run = int(at(run_sec).replace(tzinfo=datetime.timezone.utc).timestamp() * 1_000_000)
+    return (s, epoch, version, "checkpoint", ord_, None, units, False, at(run_sec + duration), run, duration)
+
+
+def newest(rows):
+    out = {}
+    for r in rows:
+        if not r.final:
+            out[r.session_id] = r
+    return {k: (r.calls, r.computed, r.beyond, r.reported) for k, r in out.items()}
+
+
+def test_dollars_in_any_split(spark, tmp_path):
+    import random
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [
+        ask("a", 1, 5, 100, 0), ask("a", 2, 5, 200, 1000), ask("a", 2, 9, 250, 1001), ask("a", 3, 1, 40, 1500, main=False), ask("a", 5, 1, 30, 2000), ask("a", 6, 1, 7, 2500, main=False),
+        bill("a", 4, 260, 900, 700), bill("a", 3, 11, 900, 600), ask("b", 1, 1, 50, 0), bill("c", 1, 90, 0, 5), ask("c", 0, 2, 80, 1), ask("c", 2, 2, 5, 3, main=False),
+    ]
+    # a: request 1 lies before the run, 2 is billed, 3 of an agent and 5, 6 come after the newest billed main request; c: no main request follows
+    want = {"a": (5, 427, 100 + 40 + 30 + 7, 260), "b": (1, 50, 50, None), "c": (2, 85, 0, 90)}
+    for seed in range(3):
+        draw = random.Random(seed)
+        draw.shuffle(rows)
+        cut = sorted(draw.sample(range(1, len(rows)), seed + 1))
+        segments = [rows[i:j] for i, j in zip([0, *cut], [*cut, len(rows)], strict=True)]
+        got = drained(spark, segments, tmp_path / str(seed), lambda s: live.live_dollars(s, late="10000 days"), TABLE)
+        assert newest(got) == want, seed
+        assert sum(r.is_new for r in got) == 3
+
+
+def test_epochs_versions_and_pauses(spark, tmp_path):
+    segments = [
+        [ask("a", 1, 5, 100, 0), ask("a", 2, 5, 200, 10), ask("b", 1, 1, 10, 5)],
+        [ask("a", 1, 5, 70, 20, epoch=1), ask("a", 9, 5, 999, 21), ask("z", 1, 1, 1, 5000)],  # replaced by a shorter file; a row of the old one; time moves on
+        [ask("z", 2, 1, 1, 5001)],
+        [ask("b", 2, 1, 5, 5002), ask("b", 1, 3, 12, 5003), ask("a", 1, 5, 90, 5004, epoch=1, version=1)],  # goes on after its final row; another catalog
+    ]
+    got = drained(spark, segments, tmp_path, lambda s: live.live_dollars(s, 300, late="10 minutes"), TABLE)
+    assert {r.session_id: (r.calls, r.computed) for r in got if r.final} == {"a": (1, 70), "b": (1, 10)}
+    assert newest(got) == {"a": (1, 90, 90, None), "b": (2, 17, 17, None), "z": (2, 2, 2, None)}
