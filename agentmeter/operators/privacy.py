@@ -21,24 +21,60 @@ SCRUB = (
 )
 
 
+#: Signs from which a name is told wherever a word begins with it; the least signs of a name; what stands
+#: before a shorter one where it can only be a login.
+LONG_NEEDLE, LEAST_NEEDLE = 5, 2
+LOGIN_BEFORE = r"(?i)(?:home/|users/|\\home\\|\\users\\|home-|users-|~)$"
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def needle_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """id, kind, needle, at (from 0), sample: every place where a name stands as a name. texts: id, text, an id once; needles: kind, needle.
+
+    A name of LONG_NEEDLE signs or more is told where no letter, digit or _ stands before it, whatever follows; a
+    shorter one only behind a home folder or ~, where its word ends with it, or as a whole word before an @. Case does not
+    count. Texts are cut where words can begin; what begins there meets the names' first signs in an
+    equi-join, so that the work grows with the texts and not with texts times names.
+    """
+    n = needles.select("kind", F.lower("needle").alias("needle")).filter(F.length("needle") >= LEAST_NEEDLE).distinct()
+    n = n.withColumn("key", F.substring("needle", 1, LONG_NEEDLE))
+    cut = texts.select("id", F.split("text", f"(?<!{_WORD})(?!^)").alias("s"))
+    ahead = lambda i: F.array_join(F.slice("s", i + 1, LONG_NEEDLE + 1), "")  # a part has a sign at least
+    behind = lambda i: F.array_join(F.slice("s", F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4))), "")
+
+    def starts(_, i):
+        rest = ahead(i)
+        login = F.when(i > 0, behind(i).rlike(LOGIN_BEFORE)).otherwise(False)
+        # a short name ends where its word does: its key is the word, or what stands before the @
+        short = F.when(login, F.regexp_extract(rest, f"^({_WORD}+)", 1)).otherwise(F.regexp_extract(rest, f"^({_WORD}+)@", 1))
+        return F.struct(i.alias("i"), F.lower(F.substring(rest, 1, LONG_NEEDLE)).alias("long"), F.lower(short).alias("short"))
+
+    at = cut.select("id", F.explode(F.transform("s", starts)).alias("b")).select("id", "b.*")
+    is_long = F.length("needle") >= LONG_NEEDLE
+    by_long = at.select("id", "i", F.col("long").alias("key")).join(n.filter(is_long), "key").select("id", "i", "kind", "needle")
+    plain = at.filter((F.length("short") >= LEAST_NEEDLE) & (F.length("short") < LONG_NEEDLE))
+    by_short = plain.select("id", "i", F.col("short").alias("key")).join(n.filter(~is_long), "key").select("id", "i", "kind", "needle")
+    met = by_long.unionByName(by_short)
+    # offsets of the places that met, added up along their texts alone
+    parts = cut.join(met.select("id").distinct(), "id", "left_semi").select("id", F.posexplode("s").alias("i", "part"))
+    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = met.join(parts.select("id", "i", before.alias("at")), ["id", "i"]).join(texts.select("id", "text"), "id")
+    sample = F.expr("substring(text, at + 1, length(needle))")
+    return placed.withColumn("sample", sample).filter(F.lower("sample") == F.col("needle")).select("id", "kind", "needle", "at", "sample")
+
+
 def findings(texts: DataFrame, needles: DataFrame | None = None) -> DataFrame:
     """id, kind, severity, sample, n, first: what is found, how often, and where first (from 0). texts: id, text.
 
-    needles: kind, needle: names that must not be published, few and short enough to go to every
-    worker. One of five signs or more is found where no letter or digit stands before it; a
-    shorter one only as a whole word.
+    needles: kind, needle: names that must not be published, as many as there are (`needle_hits`).
     """
     found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("text", F.lit(f"({p})"), 1).alias("hits")) for k, s, p in RULES])
     f = texts.select("id", "text", F.explode(found).alias("f")).select("id", "text", "f.kind", "f.severity", F.explode("f.hits").alias("sample"))
+    f = f.groupBy("id", "kind", "severity", "sample").agg(F.count("*").alias("n"), F.min(F.expr("instr(text, sample) - 1")).cast("bigint").alias("first"))
     if needles is not None:
-        n = needles.select("kind", "needle").distinct()
-        if n.count() > 10_000:
-            raise ValueError("more than 10,000 needles: search them in lots")
-        quoted = F.concat(F.lit("\\Q"), "needle", F.lit("\\E"))
-        form = F.concat(F.lit("(?i)(?<![\\p{L}\\p{N}])("), quoted, F.when(F.length("needle") >= 5, F.lit(")")).otherwise(F.lit(")(?![\\p{L}\\p{N}])")))
-        own = texts.select("id", "text").join(F.broadcast(n.select("kind", form.alias("form"))), F.expr("text rlike form"))
-        f = f.unionByName(own.select("id", "text", "kind", F.lit("block").alias("severity"), F.explode(F.regexp_extract_all("text", F.col("form"), F.lit(1))).alias("sample")))
-    return f.groupBy("id", "kind", "severity", "sample").agg(F.count("*").alias("n"), F.min(F.expr("instr(text, sample) - 1")).cast("bigint").alias("first"))
+        own = needle_hits(texts, needles).groupBy("id", "kind", F.lit("block").alias("severity"), "sample")
+        f = f.unionByName(own.agg(F.count("*").alias("n"), F.min("at").cast("bigint").alias("first")))
+    return f
 
 
 def scrubbed(texts: DataFrame) -> DataFrame:
@@ -52,8 +88,8 @@ def scrubbed(texts: DataFrame) -> DataFrame:
 def publish(tables: dict[str, DataFrame], path: str, needles: DataFrame | None = None) -> None:
     """Writes all tables, or none if a blocking finding is in any string column.
 
-    Everything is audited, then written to a folder beside, which becomes the published one by its
-    last step: a failure on the way publishes nothing.
+    Everything is audited, then written to a folder beside. The published one is moved aside before that takes
+    its place, and goes last: where a step fails it is moved back, so that one of both is published.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
@@ -65,9 +101,16 @@ def publish(tables: dict[str, DataFrame], path: str, needles: DataFrame | None =
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}.new/{name}")
-    files.delete(at, True)
+    old = jvm.Path(f"{path}.old")
+    files.delete(old, True)
+    had = files.exists(at)
+    if had and not files.rename(at, old):
+        raise OSError(f"{path} could not be moved aside")
     if not files.rename(beside, at):
+        if had:
+            files.rename(old, at)
         raise OSError(f"{path} was not replaced")
+    files.delete(old, True)
 
 
 def allowed(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..functions import walk
 from ..functions import rates
-from ..operators import listing, pricing, publishing
+from ..operators import listing, pricing, privacy, publishing
 from ..operators.series import micros
 from ..sources import facade
 from .more import costs
@@ -264,10 +264,21 @@ def built(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c28(spark: SparkSession, d: str) -> DataFrame:
-    """The sources' names as terms, in all documents."""
-    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "source")
-    words = t.filter("id % 97 = 0").select(F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1), 1, 2)).alias("term"))
-    return publishing.denied(t, words)
+    """The first two long words of every benchmark item as terms, in all documents."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    words = b.select(F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1), 1, 2)).alias("term"))
+    return publishing.denied(t, words).select("id", "term", F.col("n").cast("bigint").alias("n"))
+
+
+def x29(spark: SparkSession, d: str) -> DataFrame:
+    """Names of sources, languages and the benchmark's first words, where they stand as names in documents with a home folder and an address."""
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    text = F.concat(F.lit("/home/"), F.coalesce("source", F.lit("none")), F.lit("/x "), F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit("@host"))
+    first = spark.read.parquet(f"{d}/benchmark.parquet").select(F.regexp_extract(F.lower("text"), "([a-z]+)", 1).alias("needle"))
+    names = t.select(F.col("source").alias("needle")).union(t.select("lang")).union(first).filter("needle is not null").distinct().select(F.lit("login").alias("kind"), "needle")
+    hits = privacy.needle_hits(t.select(F.col("doc_id").alias("id"), text.alias("text")), names)
+    return hits.groupBy("id", "needle").agg(F.count("*").alias("n"))
 
 
 def c26(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +315,7 @@ def s13(spark: SparkSession, d: str) -> DataFrame:
 
 def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "c26_retention": c26, "c28_denied": c28, "f12_unpriced": f12, "k02_export": k02, "k06_pending": lambda s, d: publishing.pending(changed(s, d), built(s, d)),
+        "c26_retention": c26, "c28_denied": c28, "x29_needles": x29, "f12_unpriced": f12, "k02_export": k02, "k06_pending": lambda s, d: publishing.pending(changed(s, d), built(s, d)),
         "k07_orphans": lambda s, d: publishing.orphans(built(s, d), changed(s, d)), "k08_live": lambda s, d: publishing.live_rows(priced(s, d), facade.tools(s, d)),
         "o10_bars": o10, "s13_numbers": s13, "u06_drift": u06, "x31_slugs": x31,
     }
@@ -316,8 +327,15 @@ _bars = lambda dim: f"""SELECT * FROM (SELECT '{dim}' AS dimension, CAST({dim} A
     FROM priced GROUP BY 2 ORDER BY sum(m_total) DESC, 2 LIMIT 8)"""
 BODY |= {
     "c26_retention": f", s AS (SELECT session_id, count(*) AS n, sum(cache_read) AS b, max(epoch_us(ts)) < {_now} - 21600000000 AS goes FROM calls GROUP BY 1) SELECT count(*) FILTER (goes) AS go, count(*) FILTER (NOT goes) AS stay, CAST(coalesce(sum(n) FILTER (goes), 0) AS BIGINT) AS go_rows, CAST(coalesce(sum(b) FILTER (goes), 0) AS BIGINT) AS go_bytes, CAST(coalesce(sum(b) FILTER (NOT goes), 0) AS BIGINT) AS stay_bytes FROM s",
-    "c28_denied": r""", t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')[1:2]) AS term FROM documents WHERE doc_id % 97 = 0),
-        w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) SELECT id, term, CAST(count(*) AS INTEGER) AS n FROM w JOIN t USING (term) GROUP BY 1, 2""",
+    "c28_denied": r""", t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')[1:2]) AS term FROM benchmark),
+        w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) SELECT id, term, count(*) AS n FROM w JOIN t USING (term) GROUP BY 1, 2""",
+    "x29_needles": r""", t AS (SELECT doc_id AS id, lower('/home/' || coalesce(source, 'none') || '/x ' || coalesce(text, '') || ' ' || coalesce(lang, '') || '@host') AS t FROM documents),
+        n AS (SELECT DISTINCT lower(needle) AS needle FROM (SELECT source AS needle FROM documents UNION ALL SELECT lang FROM documents UNION ALL SELECT regexp_extract(lower(text), '[a-z]+') FROM benchmark) WHERE length(needle) >= 2),
+        o AS (SELECT id, t, needle, regexp_escape(needle) AS e FROM t JOIN n ON CASE WHEN length(needle) >= 5 THEN contains(t, needle)
+            ELSE contains(t, '~' || needle) OR contains(t, 'home/' || needle) OR contains(t, 'home-' || needle) OR contains(t, 'users/' || needle) OR contains(t, 'users-' || needle) OR contains(t, needle || '@') END),
+        c AS (SELECT id, needle, CASE WHEN length(needle) >= 5 THEN len(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_])' || e))
+            ELSE len(regexp_extract_all(t, '(?:home[/-]|users[/-]|~)' || e || '(?:$|[^\p{L}\p{N}_])')) + len(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_])' || e || '@')) END AS n FROM o)
+        SELECT id, needle, n FROM c WHERE n > 0""",
     "f12_unpriced": "SELECT model_key, count(*) AS calls, count(DISTINCT session_id) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM priced WHERE unpriced GROUP BY 1",
     "k02_export": "SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(request_id AS VARCHAR) AS request_id, model_key, tier, CAST(CAST(fast AS INTEGER) AS VARCHAR) AS fast, CAST(cw5_tokens AS VARCHAR) AS cw5_tokens, CAST(context_tokens AS VARCHAR) AS context_tokens, printf('%.10f', CAST(m_total AS DOUBLE) / 1e6) AS usd_total, CAST(CAST(unpriced AS INTEGER) AS VARCHAR) AS unpriced, '' AS stop_reason FROM priced",
     "k06_pending": f", {_built} SELECT session_id, changed_at FROM ch LEFT JOIN b USING (session_id) WHERE built_at IS NULL OR built_at < changed_at",

@@ -80,9 +80,9 @@ def compaction_journal(spark: SparkSession, root: str, names: str = "*.compactio
 
 
 def owners(lines: DataFrame) -> DataFrame:
-    """The account that a session's newest owner record names; lines as of transcripts.raw_lines."""
+    """The account that a session's first owner record names; lines as of transcripts.raw_lines."""
     o = lines.filter((F.col("kind") == "bridge-session") & (F.col("origin") == "main")).withColumn("account", get("v", "$.ownerAccountUuid", "string"))
-    return o.filter("account is not null").groupBy("session_id").agg(F.max_by("account", F.struct("file", "ord")).alias("account"))
+    return o.filter("trim(account) <> ''").groupBy("session_id").agg(F.min_by(F.trim("account"), F.struct("file", "ord")).alias("account"))
 
 
 def attestations(spark: SparkSession, root: str, names: str = "*.attestations.ndjson") -> DataFrame:
@@ -98,9 +98,16 @@ def head_and_tail(lines: DataFrame) -> DataFrame:
 
 
 def stale(reads: DataFrame, index: DataFrame) -> DataFrame:
-    """Reads of files that the index knows and that have not changed since: reads have path, size, mtime; index path, size, mtime."""
+    """Reads of files that the index knows otherwise, with the reason (size, mtime): reads have path, size, mtime; index path, size, mtime."""
     i = index.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
-    return reads.join(i, "path").filter("size = _size and mtime <=> _mtime").drop("_size", "_mtime")
+    reason = F.when(~F.col("size").eqNullSafe(F.col("_size")), "size").when(~F.col("mtime").eqNullSafe(F.col("_mtime")), "mtime")
+    return reads.join(i, "path").withColumn("reason", reason).filter("reason is not null").drop("_size", "_mtime")
+
+
+def fresh(reads: DataFrame, index: DataFrame) -> DataFrame:
+    """Reads of files that the index knows and that have not changed since."""
+    i = index.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    return reads.join(i, "path").filter("size <=> _size and mtime <=> _mtime").drop("_size", "_mtime")
 
 
 def titled(chunks: DataFrame) -> DataFrame:

@@ -93,9 +93,10 @@ def file_span(block: str = "v") -> Column:
 
 
 def target(name: Column, path: Column, command: Column, pattern: Column, url: Column) -> Column:
-    """A tool's work fingerprint: its file, else the command with white space squeezed (300 signs), else what it looks for."""
+    """A tool's work fingerprint: its file, a command with white space squeezed (300 signs), what is looked for and where, else the address."""
     squeezed = F.substring(F.trim(F.regexp_replace(command, r"\s+", " ")), 1, 300)
-    return F.when(name == "Bash", squeezed).otherwise(F.coalesce(path, pattern, url))
+    looked = F.concat(pattern, F.lit(" @ "), F.coalesce(path, F.lit("")))
+    return F.when(name == "Bash", squeezed).when(name.isin("Grep", "Glob"), looked).otherwise(F.coalesce(path, pattern, url))
 
 
 def tool_facts(uses: DataFrame, results: DataFrame, timings: DataFrame | None = None) -> DataFrame:

@@ -57,7 +57,56 @@ def test_audit_shapes_and_needles(spark):
     texts = [(1, "see 1.2.3.4.5 and 10.0.0.1, MAIN/x; élan@exämple.org"), (2, "ask joan, joanna or mary; ABC-12"), (3, None)]
     needles = spark.createDataFrame([("user", "joan"), ("user", "mary."), ("user", "joann")], "kind string, needle string")
     got = {(r.id, r.kind, r["sample"], r.n, r["first"]) for r in privacy.findings(spark.createDataFrame(texts, "id long, text string"), needles).collect()}
-    assert got == {(1, "ipv4", "10.0.0.1", 1, 18), (1, "branch", "MAIN/x", 1, 28), (1, "email", "élan@exämple.org", 1, 36), (2, "user", "joan", 1, 4), (2, "user", "joann", 1, 10), (2, "ticket", "ABC-12", 1, 26)}
+    assert got == {(1, "ipv4", "10.0.0.1", 1, 18), (1, "branch", "MAIN/x", 1, 28), (1, "email", "élan@exämple.org", 1, 36), (2, "user", "joann", 1, 10), (2, "ticket", "ABC-12", 1, 26)}
+
+
+def test_names_are_told_where_they_name(spark):
+    texts = [
+        (1, "max(1, lo) max_tokens ~max /home/max/x /home/maxwell -home-max-repo max@host formax@x C:\\Users\\Max\\d"),
+        (2, "joanna, xjoanna joanna1 _joanna JOANNAS-laptop (joanna) j.doe-jr j.doe"), (3, ""), (4, None), (5, "~ab home/ab " * 3),
+    ]
+    names = [("login", "max"), ("login", "joanna"), ("mail", "j.doe"), ("login", "ab"), ("login", "x"), ("login", "JOANNA")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = sorted((r.id, r.needle, r.at) for r in privacy.needle_hits(df, spark.createDataFrame(names, "kind string, needle string")).collect())
+    prefixes = ("/home/", "/users/", "\\home\\", "\\users\\", "home/", "users/", "home-", "users-", "~")
+    letter = lambda c: c.isalnum() or c == "_"
+    want = set()
+    for i, t in texts:
+        for n in ("max", "joanna", "j.doe", "ab"):
+            for at in range(len(t or "")):
+                end, low = at + len(n), t.lower()
+                if low[at:end] != n:
+                    continue
+                left, right = at == 0 or not letter(t[at - 1]), end >= len(t) or not letter(t[end])
+                if left if len(n) >= 5 else ((low[:at].endswith(prefixes) and right) or (left and t[end : end + 1] == "@")):
+                    want.add((i, n, at))
+    assert got == sorted(want) and len(want) > 12
+
+
+def test_terms_of_words(spark):
+    from agentmeter.operators import publishing
+
+    texts = spark.createDataFrame([(1, "Alpha beta alpha-beta alphabet"), (2, None), (3, "a.b c a.bc"), (4, "alpha beta  alpha beta")], "id long, text string")
+    terms = spark.createDataFrame([("ALPHA",), ("alpha beta",), ("a.b",), ("",), ("zeta",)], "term string")
+    assert {(r.id, r.term, r.n) for r in publishing.denied(texts, terms).collect()} == {(1, "alpha", 2), (1, "alpha beta", 1), (3, "a.b", 1), (4, "alpha", 2), (4, "alpha beta", 2)}
+
+
+def test_a_publication_is_replaced(spark, tmp_path):
+    at = str(tmp_path / "out")
+    for word in ("one", "two"):
+        privacy.publish({"t": spark.createDataFrame([(word,)], "w string")}, at)
+        assert [r.w for r in spark.read.parquet(f"{at}/t").collect()] == [word]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["out"]
+
+
+def test_work_targets(spark):
+    from pyspark.sql import functions as F
+
+    from agentmeter.sources import transcripts
+
+    rows = [("Grep", "src", None, "foo", None), ("Glob", None, None, "*.py", None), ("Grep", "src", None, None, None), ("Read", "a.py", None, None, None), ("Bash", None, " ls   -l ", None, None)]
+    df = spark.createDataFrame(rows, "n string, p string, c string, q string, u string")
+    assert [r.t for r in df.select(transcripts.target(*[F.col(x) for x in "npcqu"]).alias("t")).collect()] == ["foo @ src", "*.py @ ", None, "a.py", "ls -l"]
 
 
 def test_nothing_is_published_by_halves(spark, tmp_path):
@@ -164,11 +213,12 @@ def test_journals(spark, tmp_path):
     assert [(r.session_id, r.tool_use_id, r.duration_ms, r.is_error) for r in e] == [("s1", "t", 2, True)]
     assert [(r.trigger, r.pre_tokens, r.post_tokens) for r in journals.compaction_journal(spark, at_).collect()] == [("auto", 10, None)]
     lines = transcripts.raw_lines(spark, at_)
-    assert [(r.session_id, r.account) for r in journals.owners(lines).collect()] == [("s1", "u2")] and journals.attestations(spark, at_).count() == 1
+    assert [(r.session_id, r.account) for r in journals.owners(lines).collect()] == [("s1", "u1")] and journals.attestations(spark, at_).count() == 1
     assert sorted((r.lines, r.torn) for r in journals.head_and_tail(lines).collect()) == [(1, 0), (4, 1)]
     reads = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1)], "path string, size long, mtime long")
     index = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "path string, size long, mtime long")
-    assert [r.path for r in journals.stale(reads, index).collect()] == ["a"]
+    assert [r.path for r in journals.fresh(reads, index).collect()] == ["a"]
+    assert [(r.path, r.reason) for r in journals.stale(reads, index).collect()] == [("b", "size")]
     under = spark.createDataFrame([(1, 1, "h"), (1, 5, None), (2, 1, None)], "id long, lo int, heading string")
     assert {(r.id, r.lo): r.heading for r in journals.titled(under).collect()} == {(1, 1): "h", (1, 5): "h", (2, 1): None}
 
