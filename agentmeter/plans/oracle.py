@@ -86,7 +86,7 @@ def _ident(w: str) -> str:
     return f"list_concat([lower({w})], CASE WHEN regexp_matches({w}, '[_-]') THEN list_filter(regexp_split_to_array(lower({w}), '[_-]+'), {long}) ELSE [] END, list_filter(list_transform({camel}, lambda x: lower(x)), {long}))"
 
 
-def _tokens(old: bool, x: str) -> str:
+def _file_words(old: bool, x: str) -> str:
     """CTEs d, w (id, word, x) and l (id, len), with x behind their names, of the kept index's files."""
     text = "CASE WHEN doc_id % 5 = 0 THEN substring(coalesce(text, ''), 1, 20) ELSE coalesce(text, '') END" if old else "coalesce(text, '')"
     fields = {"path": 3.0, "symbol": 8.0, "heading": 4.0, "body": 1.0}
@@ -99,7 +99,7 @@ def _tokens(old: bool, x: str) -> str:
         w{x} AS MATERIALIZED ({each} UNION ALL SELECT id, unnest(regexp_extract_all(p, '[\p{{L}}\p{{N}}]+')), 1.5 FROM t{x}), l{x} AS (SELECT d.id, count(w.word) AS len FROM d{x} d LEFT JOIN w{x} w USING (id) GROUP BY 1)"""
 
 
-_RUNS = _tokens(True, "1") + _tokens(False, "2") + """,
+_RUNS = _file_words(True, "1") + _file_words(False, "2") + """,
         m AS (SELECT a.id, b.id IS NULL AS added, b.id IS NOT NULL AND (a.body <> b.body) AS changed, a.id % 4 = 0 AS later FROM d2 a LEFT JOIN d1 b USING (id))
         SELECT 1::BIGINT AS gen, count(*) AS scanned, count(*) AS asked, count(*) AS indexed, 0::BIGINT AS touched, 0::BIGINT AS removed, count(*) AS chunks, CAST(sum(len) AS BIGINT) AS length FROM l1
         UNION ALL SELECT 2, count(*), count_if(added OR changed OR later), count_if(added OR changed), count_if(later AND NOT added AND NOT changed), 0, count(*), (SELECT CAST(sum(len) AS BIGINT) FROM l2) FROM m"""
@@ -130,7 +130,7 @@ BODY = {
         SELECT session_id, model_key, headline, CAST(q + CASE WHEN row_number() OVER (PARTITION BY session_id ORDER BY m DESC, model_key) = 1 THEN headline - sum(q) OVER (PARTITION BY session_id) ELSE 0 END AS BIGINT) AS part FROM p""",
     "c12_audit": "SELECT id, kind, severity, sample, count(*) AS n, min(at_) AS first FROM (SELECT id, kind, severity, sample, CAST(strpos(text, sample) - 1 AS BIGINT) AS at_ FROM (" + " UNION ALL ".join(_FOUND) + ")) GROUP BY ALL",
     "c13_scrub": f"SELECT id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id AS id, {_scrub} AS t FROM documents)",
-    "c20_kept": _tokens(False, "") + r""", s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+    "c20_kept": _file_words(False, "") + r""", s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
         q0 AS (SELECT item_id AS query_id, i, regexp_replace(w, '^[-./]+|[-./]+$', '', 'g') AS w FROM (SELECT item_id, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9_./$-]{2,}') AS x FROM benchmark))),
         q1 AS (SELECT query_id, i, unnest(x) AS p, unnest(range(1, len(x) + 1)) AS j FROM (SELECT query_id, i, """ + _ident("w") + r""" AS x FROM q0)),
         q2 AS (SELECT query_id, p, min(i * 1000 + j) AS o FROM q1 WHERE regexp_full_match(p, '[a-z0-9]{2,}') GROUP BY 1, 2),
