@@ -132,7 +132,14 @@ def context(text: str, a: int, b: int) -> list[str]:
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Where something stands that a slot may hold, clear of the spans taken: a word with a mark; numbers with one space between are one."""
     runs: list[list[int]] = []
-    end = 0
+    # the spans taken as stretches in order: what is looked at goes along them once
+    held: list[list[int]] = []
+    for x, y in sorted((x, y) for _, x, y in taken):
+        if held and x <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], y)
+        else:
+            held.append([x, y])
+    end = at = 0
     for m in _mark(text):
         a = m.start()
         if a < end:
@@ -141,7 +148,9 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
             a -= 1
         stop = _space(text, m.end())
         first, end = end, stop.start() if stop else len(text)
-        clear = all(end <= x or y <= a for _, x, y in taken)
+        while at < len(held) and held[at][1] <= a:
+            at += 1
+        clear = at == len(held) or end <= held[at][0]
         beside = clear and runs and runs[-1][1] == first and a == first + 1 and text[first] == " " and text[first - 1] not in TRAILING
         if beside and not _letter(text, *runs[-1]) and not _letter(text, a, end):
             runs[-1][1] = end
