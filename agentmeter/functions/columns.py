@@ -127,13 +127,17 @@ def prompt_terms(prompts: DataFrame, key: list[str], stop: tuple[str, ...], most
 
 
 #: Programs whose name says nothing private.
-PROGRAMS = ("git", "ls", "cat", "rg", "grep", "find", "sed", "awk", "python", "python3", "node", "npm", "npx", "pytest", "make", "cargo", "go", "docker", "curl", "jq", "head", "tail", "wc", "echo", "mkdir", "rm", "cp", "mv")
+PROGRAMS = (
+    "git", "python3", "node", "npm", "pnpm", "ls", "cat", "grep", "find", "curl",
+    "docker", "make", "sed", "awk", "jq", "dotnet", "java", "go", "cargo", "rg",
+)
 
 
 def first_program(command: Column) -> Column:
-    """The program that a command runs first, of the listed ones; if that is not one, what follows the first separator."""
-    names = F.transform(F.slice(F.split(command, r"&&|\|\||;|\|"), 1, 2), lambda x: F.regexp_extract(F.trim(x), r"^(?:\S*/)?([^\s/]+)", 1))
-    return F.try_element_at(F.filter(names, lambda x: x.isin(*PROGRAMS)), F.lit(1))
+    """The program that a command runs first, if it is a listed one; else what follows the first separator; else `other`."""
+    parts = F.filter(F.split(F.coalesce(command, F.lit("")), r"&&|\|\||;|\|"), lambda x: F.trim(x) != "")
+    names = F.transform(F.slice(parts, 1, 2), lambda x: F.substring_index(F.regexp_extract(x, r"^\s*(\S+)", 1), "/", -1))
+    return F.coalesce(F.try_element_at(F.filter(names, lambda x: x.isin(*PROGRAMS)), F.lit(1)), F.lit("other"))
 
 
 def normal_path(path: Column) -> Column:

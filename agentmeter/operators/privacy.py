@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rates
+
 #: Shapes that must not be published. Words take letters and digits of any script, as upstream.
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]{2,}"
 HOME = r"/(?:home|Users)/[\p{L}\p{N}_]+"
@@ -14,6 +18,8 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
 TICKET = r"(?i)\b[A-Z][A-Z0-9]{1,9}-[0-9]{1,6}\b"
 #: Kind, severity, pattern.
 RULES = (("email", "block", EMAIL), ("home", "block", HOME), ("uuid", "block", UUID), ("branch", "block", BRANCH), ("ipv4", "block", IPV4), ("ticket", "review", TICKET))
+#: Shapes of tickets that are none: what follows a model's family, a charset, labels given to later logins.
+MODEL_BEFORE, SAFE_TICKETS, LABEL = r"(?<!claude-)(?<!anthropic\.)", ("utf-8",), "secondary-[0-9]{1,6}"
 #: What a scrub replaces, in order. A branch of main alone names nobody and stays.
 SCRUB = (
     (r"/(home|Users)/[A-Za-z0-9._-]+", "/$1/<user>"), (EMAIL, "<email>"), (UUID, "<uuid>"),
@@ -21,6 +27,16 @@ SCRUB = (
 )
 
 
+def safe_tickets() -> list[str]:
+    """What is shaped like a ticket and is none: the charset, and parts of the catalog's names."""
+    return sorted({m.lower() for name, *_ in rates.MODELS for m in re.findall(TICKET, name)} | set(SAFE_TICKETS))
+
+
+def ticket_pattern() -> str:
+    """The pattern of a ticket that is neither a model's name nor another safe shape."""
+    return rf"(?i)\b{MODEL_BEFORE}(?!(?:{'|'.join(safe_tickets())}|{LABEL})\b){TICKET.removeprefix('(?i)')}"
+
+
 #: Signs from which a name is told wherever a word begins with it; the least signs of a name; what stands
 #: before a shorter one where it can only be a login.
 LONG_NEEDLE, LEAST_NEEDLE = 5, 2
@@ -68,7 +84,7 @@ def findings(texts: DataFrame, needles: DataFrame | None = None) -> DataFrame:
 
     needles: kind, needle: names that must not be published, as many as there are (`needle_hits`).
     """
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("text", F.lit(f"({p})"), 1).alias("hits")) for k, s, p in RULES])
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("text", F.lit(f"({ticket_pattern() if k == 'ticket' else p})"), 1).alias("hits")) for k, s, p in RULES])
     f = texts.select("id", "text", F.explode(found).alias("f")).select("id", "text", "f.kind", "f.severity", F.explode("f.hits").alias("sample"))
     f = f.groupBy("id", "kind", "severity", "sample").agg(F.count("*").alias("n"), F.min(F.expr("instr(text, sample) - 1")).cast("bigint").alias("first"))
     if needles is not None:

@@ -39,7 +39,10 @@ _tokens = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("input_tokens",
 _usd = "CAST(sum(m_total) AS DOUBLE) / 1e6 AS usd_total"
 # DuckDB's patterns cannot look around: an address is a whole run of digits and dots
 _address = "((?:[0-9]{1,3}\\.){3}[0-9]{1,3})"
-_FOUND = [f"SELECT doc_id AS id, text, '{k}' AS kind, '{s}' AS severity, unnest(regexp_extract_all(text, '{p}')) AS sample FROM documents" for k, s, p in privacy.RULES if k != "ipv4"]
+_FOUND = [f"SELECT doc_id AS id, text, '{k}' AS kind, '{s}' AS severity, unnest(regexp_extract_all(text, '{p}')) AS sample FROM documents" for k, s, p in privacy.RULES if k not in ("ipv4", "ticket")]
+_models = r"(?i)\b(?:claude-|anthropic\.)[a-z][a-z0-9]{1,9}-[0-9]{1,6}\b"
+_FOUND.append(f"""SELECT * FROM (SELECT doc_id AS id, text, 'ticket' AS kind, 'review' AS severity, unnest(regexp_extract_all(regexp_replace(text, '{_models}', ' ', 'g'), '{privacy.TICKET}')) AS sample FROM documents)
+    WHERE lower(sample) NOT IN ({", ".join(f"'{t}'" for t in privacy.safe_tickets())}) AND NOT regexp_full_match(lower(sample), '{privacy.LABEL}')""")
 _FOUND.append(f"SELECT * FROM (SELECT doc_id AS id, text, 'ipv4' AS kind, 'block' AS severity, unnest(regexp_extract_all(text, '[0-9.]+')) AS sample FROM documents) WHERE regexp_full_match(sample, '{_address}')")
 _scrub = "text"
 for _p, _by in privacy.SCRUB:
