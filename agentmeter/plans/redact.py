@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from ..operators import pricing, privacy, redaction
+from ..operators import figures, pricing, privacy, redaction
 from ..operators.searchindex import scratch
 from ..sources import facade
 from .oracle import _address
@@ -92,8 +92,20 @@ def x15(spark: SparkSession, d: str) -> DataFrame:
     return t.select("page_id", "kind", redaction.target_shape(F.col("tool"), F.col("target")).alias("shape"), label.alias("label"))
 
 
+def reported(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a line on what it cost, and on its length."""
+    t, i = spark.read.parquet(f"{d}/documents.parquet"), F.col("doc_id")
+    line = F.concat(F.lit("\nspent $"), i + 1, F.lit(".25 on "), F.length(F.coalesce("text", F.lit(""))), F.lit(" tokens, "), i % 100, F.lit("% of it; measured\n$3/Mtok"))
+    return t.select(i.alias("id"), F.concat(F.coalesce("text", F.lit("")), line).alias("text"))
+
+
+def c17(spark: SparkSession, d: str) -> DataFrame:
+    allowed = spark.createDataFrame([("aggregate", "2000 tokens", "a limit")], "rule string, sample string, reason string")
+    return figures.findings(reported(spark, d), allowed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"c13_maps": c13, "c14_map": c14_map, "c14_marts": c14, "c15_whois": c15, "x15_targets": x15}
+    return {"c13_maps": c13, "c14_map": c14_map, "c14_marts": c14, "c15_whois": c15, "x15_targets": x15, "c17_figures": c17}
 
 
 _MAP = """mp AS (SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (ORDER BY user_id % 2, s, CAST(user_id AS VARCHAR)) AS ordinal FROM (SELECT user_id, min(ts) AS s FROM ev GROUP BY 1)),
