@@ -11,7 +11,7 @@ from ..functions import columns as X
 from ..functions import rates
 from ..operators import advice, marts, pricing, privacy, rereads, search, searchindex, series
 from ..sources import facade, transcripts
-from . import journal, more, more_sql, oracle, reconciled, redact, sessions
+from . import journal, more, more_sql, oracle, reconciled, redact, selection, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,9 +163,9 @@ def queries() -> dict[str, Query]:
         "t03_live": t03, "u03_except": u03, "w04_cumulative": on(series.cumulative), "w05_thinned": on(series.thinned), "w08_growth": on(series.growth, facade.prompts),
         "w09_carry": w09, "w10_rereads": w10, "c08_ledger": c08, "a19_corpus_rereads": lambda s, d: rereads.corpus(ledger(s, d)), "a18_summary": lambda s, d: rereads.summary(ledger(s, d)), "w07_contexts": w07, "w11_islands": lambda s, d: rereads.islands(facade.tools(s, d).filter("name = 'Read'")), "w12_runs": on(series.runs),
         "w15_day_series": on(series.days), "w19_capped_topk": tools(series.capped), "w20_pseudonyms": lambda s, d: series.pseudonyms(facade.calls(s, d), "agent_id"), "w23_burn": on(series.burn),
-        **more.queries(), **sessions.queries(), **redact.queries(), **reconciled.queries(), **journal.queries(),
+        **more.queries(), **sessions.queries(), **redact.queries(), **reconciled.queries(), **journal.queries(), **selection.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql() | more_sql.sql(oracle.FACTS) | sessions.sql(oracle.FACTS) | redact.sql(oracle.FACTS) | reconciled.sql(oracle.FACTS) | journal.sql(oracle.FACTS)
+    return oracle.sql() | more_sql.sql(oracle.FACTS) | sessions.sql(oracle.FACTS) | redact.sql(oracle.FACTS) | reconciled.sql(oracle.FACTS) | journal.sql(oracle.FACTS) | selection.sql(oracle.FACTS)
