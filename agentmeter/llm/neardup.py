@@ -7,7 +7,7 @@ full shingle sets decide (Jaccard at or above the threshold, in whole numbers).
 
 Equal shingle sets form one class first, so that a group of copies costs one signature row. In a
 bucket every class meets the bucket's leader; classes that a link joins need not meet again. In
-buckets where classes stay apart, further leaders are tried. The members of those still apart are
+buckets where classes stay apart, further leaders are tried, all in one pass. The members of those still apart are
 met by rare shingles: sets at the threshold share one of the rarest few of each, so that only those
 pairs meet, and where such a shingle is frequent all its holders meet in blocks of bounded bytes.
 No link between different texts that the bands found is lost.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, make_room, packed, saved
+from .common import components, forget, make_room, merged, packed, saved
 
 UNIVERSE = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -230,7 +230,7 @@ def _in_blocks(held: DataFrame, sets: DataFrame, percent: int, block: int = 256,
 
 
 def _salted(rows: DataFrame, each: DataFrame, per: int = 512) -> DataFrame:
-    """rows (key, id, size, ...) joined with one row of each by key; a bucket of many rows is met in as many shares."""
+    """rows (key, id, size, ...) joined with the few rows of each by key; a bucket of many rows is met in as many shares."""
     share = F.ceil(F.col("size") / per)
     spread = each.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("in_all") / per) - 1))).drop("in_all")
     return rows.withColumn("salt", F.pmod(F.xxhash64("id"), share)).join(spread, ["key", "salt"]).drop("salt")
@@ -256,24 +256,31 @@ def _linked(docs: DataFrame, n: int, percent: int, bands: int, rows: int, leader
     texts = docs.select("doc_id", "text", text_id.alias("text_id")).join(wanted, ["doc_id", "text_id"]).dropDuplicates(["id"])
     sets = saved(texts.select("id", _sets(n)("text").alias("shingles")))
     links = saved(verified(tested, sets, percent))
-    comps = components(links)
+    # until the end labels need not be settled: equal ones are connected, which is all that spares a test
+    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
+    first = saved(sets.select("id").join(near, "id", "left").select("id", F.least("id", "m").alias("comp")))
+    comps = merged(first, links)
+    forget(first)
 
     crowded = saved(members.filter("size > 2").select("key", "id", "n", "size"))
     forget(members)
-    for turn in range(leaders):
-        now = crowded.join(comps, "id", "left").select("key", "id", "n", "size", F.coalesce("comp", "id").alias("comp"))
-        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("in_all"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "comp")).alias("lead")).filter("lo < hi")
-        met = _salted(now, saved(apart.select("key", "in_all", "lead")))
+    if leaders:
+        now = crowded.join(comps, "id").select("key", "id", "n", "size", "comp")
+        tries = [F.min(F.struct(F.xxhash64("id", F.lit(i)), F.struct("id", "n", "comp").alias("one")))["one"] for i in range(leaders)]
+        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("in_all"), F.array(*tries).alias("leads")).filter("lo < hi")
+        # written, as else the join would be dealt by the key alone, which the leaders are grouped by
+        met = _salted(now, saved(apart.select("key", "in_all", F.explode(F.array_distinct("leads")).alias("lead"))))
         pairs = met.filter((F.col("comp") != F.col("lead.comp")) & near_size(F.col("n"), F.col("lead.n"))).select(F.least(F.col("id"), F.col("lead.id")).alias("a"), F.greatest(F.col("id"), F.col("lead.id")).alias("b")).distinct()
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
         new = saved(verified(pairs, sets, percent))
         tested = tested.unionByName(pairs)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = components(links)
+            links, before = links.unionByName(new), comps
+            comps = merged(comps, links)
+            forget(before)
 
     # the members of buckets still apart meet by their rare shingles
-    now = crowded.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    now = crowded.join(comps, "id").select("key", "id", "n", "comp")
     apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("id").alias("some")).filter("lo < hi")
     open_ = saved(now.join(apart.select("key"), "key", "left_semi").select("id", "n", "comp").distinct())
     if not open_.isEmpty():
@@ -283,11 +290,10 @@ def _linked(docs: DataFrame, n: int, percent: int, bands: int, rows: int, leader
         small = held.filter(F.col("size") <= few).select("key", F.col("id").alias("x"), "n", "comp")
         other = small.select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
         pairs = small.join(other, "key").filter((F.col("x") < F.col("y")) & (F.col("comp") != F.col("comp2")) & near_size(F.col("n"), F.col("m"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        new = saved(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent))
-        new = saved(new.unionByName(_in_blocks(held.filter(F.col("size") > few).select("key", "id", "comp", "size", "bytes"), sets, percent)))
+        rare = verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)
+        links = links.unionByName(saved(rare.unionByName(_in_blocks(held.filter(F.col("size") > few).select("key", "id", "comp", "size", "bytes"), sets, percent))))
         forget(held, shown)
-        if not new.isEmpty():
-            comps = components(links.unionByName(new))
+    comps = components(links, comps)
     forget(crowded, sets)
     ends = classes.select("id", "doc_id").join(comps, "id", "left").select("id", "doc_id", F.coalesce("comp", "id").alias("comp"))
     least = ends.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

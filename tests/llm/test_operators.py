@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from agentmeter.llm import decontam, langid, lm, mixing, neardup, pii, quality, tokens, topk, urlfilter
+from agentmeter.llm import common, decontam, langid, lm, mixing, neardup, pii, quality, tokens, topk, urlfilter
 from agentmeter.llm.queries import URL_RULES, pieces
 
 rnd = random.Random(7)
@@ -61,6 +61,31 @@ def test_neardup(docs, empty):
     assert neardup.deduplicated(df).count() < len(rows)
 
 
+def test_neardup_passes(docs, monkeypatch):
+    """Each table that is written is a pass over all partitions: further leaders go in one, and labels settle once."""
+    made, saved = [], common.saved
+    for module in (common, neardup):
+        monkeypatch.setattr(module, "saved", lambda df: made.append(df.columns) or saved(df))
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs[1], n=4).collect()}
+    assert len(made) <= 22
+    assert got == {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs[1], n=4, leaders=0).collect()}
+
+
+def test_components_go_on_from_labels(spark):
+    ids = list(range(300))
+    rnd.shuffle(ids)
+    path = [(x, y) for x, y in zip(ids[:200], ids[1:200], strict=False)]  # and 100 alone
+    links = spark.createDataFrame(path, "a long, b long")
+    labels = spark.createDataFrame([(i, i) for i in ids], "id long, comp long")
+    for _ in range(3):
+        labels = common.merged(labels, links)
+    least = min(ids[:200])
+    assert all(r.comp == r.id for r in labels.collect() if r.id in ids[200:])
+    want = {i: least if i in ids[:200] else i for i in ids}
+    assert {r.id: r.comp for r in common.components(links, labels).collect()} == want
+    assert {r.id: r.comp for r in common.components(links).collect()} == {i: least for i in ids[:200]}
+
+
 def test_intersections():
     draw = np.random.default_rng(1)
     a, b = ([np.unique(draw.integers(0, 90, 40)).astype(np.uint64) for _ in range(5)] for _ in range(2))
