@@ -211,6 +211,41 @@ def test_lm(docs, empty):
     assert lm.score(empty, train).count() == 0
 
 
+def test_filter_hashes_a_key_once():
+    """A key is hashed once for all its levels, and the places that its levels ask stay independent."""
+
+    class Counted(lm.Shape):
+        calls = 0
+
+        def mixed(self, key):
+            Counted.calls += 1
+            return super().mixed(key)
+
+    shape, draw = Counted(), np.random.default_rng(3)
+    key, count = lm.finish(np.arange(1, 200_001, dtype=np.uint64)), draw.geometric(0.3, 200_000)
+    f = lm.Filter(shape, 1, {0: lm.build_block(key, count, shape)})
+    Counted.calls = 0
+    got = f.levels(key)
+    assert Counted.calls == 1
+    over = got - shape.level(count)
+    assert (over >= 0).all()
+    wrong = (1 - math.exp(-shape.probes / shape.bits)) ** shape.probes  # of a filter whose places are independent
+    absent = f.levels(lm.finish(np.arange(10**7, 10**7 + 100_000, dtype=np.uint64)))
+    for high in (over, absent):
+        assert abs((high > 0).mean() - wrong) < 0.1 * wrong and abs((high > 1).mean() - wrong**2) < 0.2 * wrong**2
+
+
+def test_pairs_of_many_texts():
+    texts = ["a b a", None, "", "B", "a  b\tc"]
+    words, starts = lm.flat(texts)
+    got = lm.pair_keys(lm.hashes(words), starts).tolist()
+    want = []
+    for t in texts:
+        h = [lm.xxhash.xxh3_64_intdigest(w) for w in [lm.START, *lm.tokens(t)]]
+        want += lm.finish(np.array(h[:-1], np.uint64) * lm._M[2] + np.array(h[1:], np.uint64)).tolist()
+    assert got == want and starts.tolist() == [0, 4, 5, 6, 8]
+
+
 def test_bloom_levels():
     shape = lm.Shape(bits=10)
     key = lm.finish(np.arange(1, 3001, dtype=np.uint64))
