@@ -144,3 +144,28 @@ def test_labels_of_targets(spark):
     df = spark.createDataFrame(rows, "kind string, ext string, note string")
     got = df.select(redaction.target_label(F.col("kind"), F.lit("path_01"), F.col("ext"), F.lit(3), F.lit("git")).alias("l")).first().l
     assert got == ".py file, depth 3 (path_01)"
+
+
+def test_texts_travel_once_and_keep_their_signs(spark):
+    """Names among many others, signs of two code units, and names that begin a text, end it and follow each other."""
+    needles = [(f"repo-{i:05}", f"project_{i:04}") for i in range(1500)]
+    texts = [(1, "\U0001f600repo-00007 \U0001f600\U0001f600/repo-00008/x"), (2, "repo-00001repo-00002 repo-00003"), (3, "repo-01499"), (4, "-\U0001f600 x"), (5, None), (6, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    want = {1: "\U0001f600project_0007 \U0001f600\U0001f600/project_0008/x", 2: "repo-00001repo-00002 project_0003", 3: "project_1499", 4: "-\U0001f600 x", 5: None, 6: ""}
+    for some in (needles, needles[:9] + needles[-1:]):  # by all places where a word can begin; by the names' first signs
+        n = spark.createDataFrame(some, "needle string, token string")
+        cut = redaction.cut_before(n.withColumn("needle", F.concat(F.reverse("needle"), "needle")).unionByName(n)) if len(some) > 1000 else redaction.cut_before(n)
+        assert (cut == redaction._CUT) == (len(some) > 1000)
+        hits = redaction.project_hits(df, n, cut)
+        assert {r.id: r.text for r in redaction.put_in(df, redaction.apart(hits), cut).collect()} == want
+    # one plan: what is read twice is one exchange of the texts, and no part of a text is a row
+    out = redaction.scrub(df, spark.createDataFrame(NAMES, redaction.MAP), spark.createDataFrame(SHOWN, "key string, display string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(split" not in plan and plan.count("RepartitionByExpression") >= 1
+
+
+def test_an_address_with_a_label_that_holds_a_session(spark):
+    df = spark.createDataFrame([(1, f"Ann@Example.org {U1} x.y+z@a-b.cc-q@d.ee @ a@b")], "id int, text string")
+    names, labels = spark.createDataFrame(NAMES, redaction.MAP), spark.createDataFrame([("ann@example.org", f"of {U1}"), ("-q@d.ee", "second")], "address string, label string")
+    (got,) = redaction.scrub(df, names, labels=labels).collect()
+    assert re.fullmatch(r"<account:of session_01> session_01 <email-[0-9a-f]{8}><account:second> @ a@b", got.text)
