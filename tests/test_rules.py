@@ -272,3 +272,21 @@ def test_usage_of_many_models(spark):
     got = {(r.session_id, r.model): r for r in walk.model_usage(spark.createDataFrame(rows, "session_id string, usage string")).collect()}
     assert set(got) == {("s", "m"), ("s", "n")}
     assert (got["s", "m"].runs, got["s", "m"].inputTokens, float(got["s", "m"].costUSD)) == (2, 7, 0.3) and (got["s", "n"].outputTokens, got["s", "n"].thinkingTokens) == (7, 0)
+
+
+def test_needles_meet_places_and_not_parts(spark):
+    """Few and many names find the same; texts are no rows of parts, and signs of two code units stay whole."""
+    from agentmeter.operators import privacy
+
+    texts = [(1, "\U0001f600Joanna \U0001f600\U0001f600joanna's ~Max \\Users\\max max@h xmax@h Kelvin kelvin"), (2, "/home/max-1 home-maxx users/MAX"), (3, "joanna"), (4, None), (5, "")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    names = [("login", "joanna"), ("login", "max"), ("login", "kelvin")]
+    many = [("login", f"{a}{b}{c}{d}eq") for a in "ghijklmq" for b in "ghijklmq" for c in "ghijklmq" for d in "abc"]
+    seen = set()
+    for own in (names, names + many, names + [("login", "été123")]):
+        hits, cut = privacy.needle_places(df, spark.createDataFrame(own, "kind string, needle string"))
+        seen.add(len(cut) > 200)
+        assert "posexplode(split" not in hits._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.id, r.needle, r.at) for r in hits.collect()}
+        assert got == {(1, "joanna", 1), (1, "joanna", 10), (1, "max", 20), (1, "max", 31), (1, "max", 35), (1, "kelvin", 48), (1, "kelvin", 55), (2, "max", 6), (2, "max", 28), (3, "joanna", 0)}
+    assert len(many) > privacy.FEW_HEADS and seen == {True, False}
