@@ -74,3 +74,23 @@ def test_query_keys_and_globs(spark):
     paths = spark.createDataFrame([("src/a.py",), ("src/sub/b.py",), ("a.ts",)], "p string")
     hit = lambda g: {r.p for r in paths.filter(F.col("p").rlike(glob_pattern(g))).collect()}
     assert hit("src/*.py") == {"src/a.py", "src/sub/b.py"} and hit("?.ts") == {"a.ts"} and hit("src/[a-b].py") == {"src/a.py"}
+
+
+def test_words_are_found_once_and_stay_with_their_text(spark, world):
+    """Nothing but texts and each task's best is dealt out; files of several chunks, one without words, count as before."""
+    from agentmeter.operators import search
+
+    t = spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta gamma"), (3, ""), (4, None), (5, "alphabet")], "id long, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "none")], "query_id long, text string")
+    out = search.bm25(t, q)
+    assert [(r.query_id, r.id) for r in out.orderBy("query_id", "rank").collect()] == [(1, 1), (1, 2), (1, 5)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan and not any(f"{x}#" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line for x in ("key", " w") if "hashpartitioning(id#" in line)
+    # the words of a text are not made once more to see whether there are any
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter ((size(" not in text and "AND (size(" not in text
+    index, listing, reader, _ = world
+    index.update(listing(FILES, {}), reader(FILES))
+    got = {r.id: (r.chunks, r.length) for r in index.files().collect()}
+    want = {r.id: r.n for r in index.postings().groupBy("id").agg(F.sum(F.expr("tf.path + tf.symbol + tf.heading + tf.body + tf.terms")).alias("n")).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: 2, 2: 1, 3: 1, 4: 0} and {i: n for i, (_, n) in got.items() if n} == want
