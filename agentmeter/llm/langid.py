@@ -3,7 +3,7 @@
 The pieces are those of a fixed public vocabulary. For each language, a word's probability is
 the sum over all ways to cut it into pieces of the product of the pieces' probabilities, by a
 forward algorithm. The probabilities are fitted by expectation maximisation (forward-backward)
-over the word counts of a sample of labelled documents, bounded by docs_per_lang; a text's score
+over the word counts of all labelled documents, each counted where it lies; a text's score
 is the posterior of its most probable language, from all of its words.
 
 That posterior knows the learned languages only: of a long text in any other it is near 1 too. A
@@ -289,33 +289,42 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int = 1500, rounds: int = 3, gauge: bool = False, max_langs: int = 256, parts: int = 32) -> Model:
-    """docs: doc_id, text, lang. Learns from rows where train holds and lang is not null.
+def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int | None = None, rounds: int = 3, gauge: bool = False, parts: int = 32) -> Model:
+    """docs: doc_id, text, lang. Learns all labels from all rows where train holds and lang is not null.
 
-    The sample takes each language's rows whose hash lies under docs_per_lang over their count,
-    so it needs no shuffle of texts; a language with fewer rows gives all. Of more labels than
-    max_langs the most frequent are learned. The medians of a gauge are those of another sample,
-    of a fifth as many. parts: tasks of a round.
+    Tasks count the words of their texts before anything is shuffled; a round goes over the distinct words of each
+    language. The medians of a gauge are those of all these rows, too. parts: tasks of a round. docs_per_lang: for a caller
+    that wants a sample of about so many rows a language, by hash; nothing here asks for one.
     """
     spark = docs.sparkSession
     rows = docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     pieces = usable(pieces)
     if not langs:
         return Model([], pieces, np.empty((len(pieces) + 1, 0)), np.empty(0))
 
-    def sampled(n: float, salt: int) -> DataFrame:
-        part = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, n / counts[k]))])[F.col("lang")]
-        return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < part * 1_000_000)
+    if docs_per_lang is not None:
+        part = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_lang / counts[k]))])[F.col("lang")]
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < part * 1_000_000)
 
-    sample = sampled(docs_per_lang, 17)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, Counter] = defaultdict(Counter)
 
-    @F.pandas_udf("array<string>")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(words_of)
+        def told() -> pd.DataFrame:
+            out = [(lang, word, n) for lang, own in seen.items() for word, n in own.items()]
+            seen.clear()
+            return pd.DataFrame(out, columns=["lang", "word", "n"]).astype({"n": "int64"})
 
-    tally = saved(sample.select("lang", F.explode(words("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).repartition(parts, F.xxhash64("lang", "word")))
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                seen[lang].update(words_of(text))
+            if sum(map(len, seen.values())) > 200_000:
+                yield told()
+        yield told()
+
+    words = rows.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    tally = saved(words.repartition(parts, F.xxhash64("lang", "word")))
     v = len(pieces) + 1
     p = np.full((v, len(langs)), 1.0 / v)
     p[-1] = LETTER_FLOOR
@@ -360,8 +369,8 @@ def fit(docs: DataFrame, pieces: list[str], train: Column, docs_per_lang: int =
         c = tally.select(F.explode(F.split(F.concat(F.lit(BEGIN), "word"), "")).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("n")).collect()
         uses = sum(r["n"] for r in c)
         model.letters = {r["letter"]: math.log(r["n"] / uses) for r in c}  # an alphabet's rows
-        mid = {r["lang"]: r["mid"] for r in identify(sampled(docs_per_lang / 5, 23), model).groupBy("lang").agg(F.percentile_approx("gain", 0.5).alias("mid")).collect()}
-        # a language without letters in its sample has no median and rejects nothing
+        mid = {r["lang"]: r["mid"] for r in identify(rows, model).groupBy("lang").agg(F.percentile_approx("gain", 0.5).alias("mid")).collect()}
+        # a language without letters in its rows has no median and rejects nothing
         model.least = np.array([-np.inf if mid.get(k) is None else min(0.0, mid[k] - BELOW_MEDIAN) for k in langs])
     forget(tally)
     return model
