@@ -100,3 +100,54 @@ def test_epochs_versions_and_pauses(spark, tmp_path):
     got = drained(spark, segments, tmp_path, lambda s: live.live_dollars(s, 300, late="10 minutes"), TABLE)
     assert {r.session_id: (r.calls, r.computed) for r in got if r.final} == {"a": (1, 70), "b": (1, 10)}
     assert newest(got) == {"a": (1, 90, 90, None), "b": (2, 17, 17, None), "z": (2, 2, 2, None)}
+
+
+def test_a_new_session_is_not_looked_up_request_by_request():
+    """State that is known to be empty is not read, and each key is written once a call."""
+    import pandas as pd
+
+    calls = []
+
+    class State(dict):
+        def __init__(self, name):
+            self.name = name
+
+        def containsKey(self, k):
+            calls.append((self.name, "read"))
+            return k in self
+
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append((self.name, "write"))
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Value:
+        held = None
+
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, v):
+            self.held = v
+
+    class Timers:
+        listTimers = lambda self: []
+        registerTimer = lambda self, at: None
+
+    d = live.Dollars()
+    d.handle, d.best, d.instants, d.runs, d.total = Timers(), State("best"), State("instants"), State("runs"), Value()
+    names = [c.split()[0] for c in TABLE.split(", ")]
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=names)])
+    list(d.handleInputRows(("a",), frame([ask("a", i, out, 10 * out, i) for out in (1, 2) for i in range(50)]), None))
+    assert ("best", "read") not in calls and calls.count(("best", "write")) == 50 and calls.count(("instants", "write")) == 50
+    calls.clear()
+    (row,) = list(d.handleInputRows(("a",), frame([ask("a", 3, 9, 90, 3), ask("a", 77, 1, 10, 77)]), None))
+    assert calls.count(("best", "read")) == 2 and row["computed"][0] == 49 * 20 + 90 + 10 and row["calls"][0] == 51
