@@ -138,6 +138,9 @@ def test_a_new_session_is_not_looked_up_request_by_request():
         def update(self, v):
             self.held = v
 
+        def clear(self):
+            self.held = None
+
     class Timers:
         listTimers = lambda self: []
         registerTimer = lambda self, at: None
